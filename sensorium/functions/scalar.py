@@ -93,15 +93,26 @@ def any_of(flags: Sequence[Column]) -> Column:
     return reduce(lambda a, b: a | b, [yes(f) for f in flags], F.lit(False))
 
 
+# Texts for the position of a value in its reference percentiles.
+RANGE_TEXTS = {
+    "below_outer": "Below 1pct outer baseline",
+    "below_soft": "Below 5pct soft baseline",
+    "inside": "Inside 5-95 baseline",
+    "above_soft": "Above 95pct soft baseline",
+    "above_outer": "Above 99pct outer baseline",
+}
+
+
 def range_position(x: Column, p1: Column, p5: Column, p95: Column, p99: Column) -> Column:
     """Where a value lies in the reference percentiles."""
+    t = RANGE_TEXTS
     return (
-        F.when(x.isNull() | p1.isNull() | p99.isNull(), F.lit("Unknown"))
-        .when(x < p1, "Below_P1")
-        .when(x > p99, "Above_P99")
-        .when(x < p5, "P1_to_P5")
-        .when(x > p95, "P95_to_P99")
-        .otherwise("Within_P5_P95")
+        F.when(x.isNull(), "Unknown")
+        .when(x < p1, t["below_outer"])
+        .when(x < p5, t["below_soft"])
+        .when(x <= p95, t["inside"])
+        .when(x <= p99, t["above_soft"])
+        .otherwise(t["above_outer"])
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sensorium.plans.attach import attach
 from sensorium.plans.quantiles import quantiles
 from sensorium.series import Series
+from sensorium.session import settle
 
 # Consistency factors of the MAD and the IQR for a normal law.
 MAD_K = 1.4826
@@ -29,25 +30,24 @@ def center_mad(
     """
     df = series.df if df is None else df
     wanted = {f"{p}_center": (c, 0.5) for p, c in columns.items()} | (probs or {})
-    medians = series.quantiles(wanted, df)
-    moments = df.groupBy("tag").agg(
-        *[
-            piece
-            for p, c in columns.items()
-            for piece in (
-                F.count(c).alias(f"{p}_n"),
-                F.avg(c).alias(f"{p}_mean"),
-                F.stddev_samp(c).alias(f"{p}_std"),
-                F.stddev_pop(c).alias(f"{p}_std0"),
-            )
-        ]
-    )
-    joined = attach(df.select("tag", *dict.fromkeys(columns.values())), medians, "tag", series.tags)
+    moments = [
+        piece
+        for p, c in columns.items()
+        for piece in (
+            F.count(c).alias(f"{p}_n"),
+            F.avg(c).alias(f"{p}_mean"),
+            F.stddev_samp(c).alias(f"{p}_std"),
+            F.stddev_pop(c).alias(f"{p}_std0"),
+        )
+    ]
+    first = settle(series.quantiles(wanted, df, moments))
+    slim = df.select("tag", *dict.fromkeys(columns.values()))
+    joined = attach(slim, first.select("tag", *[f"{p}_center" for p in columns]), "tag", series.tags)
     devs = joined.select(
         "tag", *[F.abs(F.col(c) - F.col(f"{p}_center")).alias(f"_d_{p}") for p, c in columns.items()]
     )
     mads = series.quantiles({f"{p}_mad": (f"_d_{p}", 0.5) for p in columns}, devs)
-    return medians.join(moments, "tag").join(mads, "tag")
+    return first.join(mads, "tag")
 
 
 def scale_of(prefix: str, policy: str = "std1", eps: float = 1e-9, iqr: Column | None = None) -> Column:
@@ -123,15 +123,13 @@ def inner_trim(
     if tail <= 0:
         return df.withColumn(name, F.col(column))
     bounds = series.quantiles({"_lo": (column, tail), "_hi": (column, 1 - tail)}, df)
-    marked = attach(df, bounds, "tag", series.tags).withColumn(
-        "_in", F.col(column).between(F.col("_lo"), F.col("_hi"))
-    )
+    marked = series.attach(bounds, df).withColumn("_in", F.col(column).between(F.col("_lo"), F.col("_hi")))
     sizes = marked.groupBy("tag").agg(
         F.count(column).alias("_n"), F.count_if(F.col("_in")).alias("_kept")
     )
     floor = F.lit(min_inner) if isinstance(min_inner, int) else min_inner
     sizes = sizes.withColumn("_trim", (F.col("_n") >= 10) & (F.col("_kept") >= floor)).drop("_n", "_kept")
-    marked = attach(marked, sizes, "tag", series.tags)
+    marked = series.attach(sizes, marked)
     keep = F.when(~F.col("_trim") | F.col("_in"), F.col(column))
     return marked.withColumn(name, keep).drop("_lo", "_hi", "_in", "_trim")
 

@@ -160,13 +160,14 @@ def deviation_features(series: Series, eps: float = 1e-9) -> DataFrame:
     )
     df = series.attach(stats, df)
     zero = F.lit(0.0)
-    return df.withColumns(
+    df = df.withColumns(
         {
             "spike_z": F.coalesce(F.col("_resid") / F.col("_rs"), zero),
             "change_z": F.coalesce(F.col("_change") / F.col("_hs"), zero),
             "volatility_z": F.coalesce((F.col("_vol") - F.col("_vc")) / F.col("_vs"), zero),
         }
-    ).drop("_c", "_s", "_resid", "_change", "_vol", "_rs", "_hs", "_vc", "_vs")
+    )
+    return df.drop("_c", "_s", "_resid", "_change", "_vol", "_rs", "_hs", "_vc", "_vs")
 
 
 def flatline(lane: Lane, name: str = "flatline", window: int = 5) -> Lane:

@@ -22,7 +22,7 @@ def attach(big: DataFrame, small: DataFrame, on: Sequence[str] | str, rows: int
 
 
 def beside(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Put the columns of a table of exactly one row (a grand total) next to every row."""
-    left = df.withColumn("_b", F.lit(0))
-    right = one_row.withColumn("_b", F.lit(0))
-    return left.join(F.broadcast(right), "_b", "left").drop("_b")
+    """Put the columns of a one-row table (a grand total) next to every row, as literals."""
+    row = one_row.first()
+    types = {f.name: f.dataType for f in one_row.schema.fields}
+    return df.withColumns({name: F.lit(row[name]).cast(kind) for name, kind in types.items()})

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorium.plans.attach import attach
 from sensorium.plans.lane import Lane
 from sensorium.plans.quantiles import quantiles
+from sensorium.session import settle
 
 
 class Series:
@@ -65,10 +66,21 @@ class Series:
         """One row per timestamp, in time order."""
         return Lane(rows, [], ["ts"])
 
-    def quantiles(self, wanted: dict[str, tuple[str, float]], df: DataFrame | None = None) -> DataFrame:
+    def quantiles(
+        self, wanted: dict[str, tuple[str, float]], df: DataFrame | None = None, extra: Sequence[Column] = ()
+    ) -> DataFrame:
         """Exact quantiles per tag."""
-        return quantiles(self.df if df is None else df, ["tag"], wanted, self.tag_rows)
+        return quantiles(self.df if df is None else df, ["tag"], wanted, self.tag_rows, extra=extra)
+
+    def stored(self) -> Series:
+        """The same series read back from shared storage, for several passes over a derived shape."""
+        out = Series(settle(self.df), self._tags, self._tag_rows)
+        return out
 
     def attach(self, per_tag: DataFrame, df: DataFrame | None = None, how: str = "left") -> DataFrame:
-        """Join one row per tag to every reading."""
-        return attach(self.df if df is None else df, per_tag, "tag", self.tags, how)
+        """Join one row per tag to every reading.
+
+        The per-tag table is written down first: later passes over the readings then
+        start from it instead of computing it again, so passes add up, not multiply.
+        """
+        return attach(self.df if df is None else df, settle(per_tag), "tag", self.tags, how)

@@ -23,6 +23,7 @@ def local_session(cpus: int | str = "*", **extra: str) -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in extra.items():
         builder = builder.config(key, value)

@@ -43,7 +43,7 @@ def sensor_hourly(spark: SparkSession, folder: str) -> Series:
     """Mean per hour and event type; hours without readings are missing."""
     events = table(spark, folder, "events")
     hours = events.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts"), F.col("event_type").alias("tag"))
-    return Series(hours.agg(F.avg("value").alias("value")))
+    return Series(hours.agg(F.avg("value").alias("value"))).stored()
 
 
 # The return-flag / line-status pairs that get a tag of their own.
@@ -75,7 +75,7 @@ def ship_wide(spark: SparkSession, folder: str) -> DataFrame:
 
 def ship_daily(spark: SparkSession, folder: str) -> Series:
     """``ship_wide`` as long readings: eleven tags on a complete daily grid."""
-    return Series(to_observations(ship_wide(spark, folder), SHIP_TAGS), tags=len(SHIP_TAGS))
+    return Series(to_observations(ship_wide(spark, folder), SHIP_TAGS), tags=len(SHIP_TAGS)).stored()
 
 
 def order_daily(spark: SparkSession, folder: str) -> Series:
@@ -84,7 +84,7 @@ def order_daily(spark: SparkSession, folder: str) -> Series:
     days = orders.groupBy(
         F.date_trunc("day", "o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_orderpriority").alias("tag")
     )
-    return Series(days.agg(F.round(F.avg("o_totalprice"), 6).alias("value")))
+    return Series(days.agg(F.round(F.avg("o_totalprice"), 6).alias("value"))).stored()
 
 
 def cause_paths(spark: SparkSession, folder: str) -> DataFrame:
