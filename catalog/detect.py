@@ -174,7 +174,7 @@ def _(spark, folder):
     "p AS (SELECT ts, count_if(abs(z) > 2) AS peers, list(tag ORDER BY tag) AS moved FROM z WHERE abs(z) >= 2 GROUP BY ts), "
     "k AS (SELECT z.*, coalesce(peers, 0) AS n, list_filter(coalesce(moved, []), lambda x: x <> z.tag)[1:5] AS related_tags FROM z LEFT JOIN p USING (ts)), "
     "s AS (SELECT *, abs(z) >= 2.5 AS o, (n >= 2 AND abs(z) >= 1.5) OR (tag = 'qty_sum' AND abs(z) >= 2) AS pr, round(abs(z), 2) AS os, "
-    "round(least(5.0, n * 1.2 + CASE WHEN tag = 'qty_sum' THEN 0.5 ELSE 0 END), 2) AS ps FROM k) "
+    "round(least(CAST(5.0 AS DOUBLE), CAST(n * 1.2 + CASE WHEN tag = 'qty_sum' THEN 0.5 ELSE 0 END AS DOUBLE)), 2) AS ps FROM k) "
     f"SELECT tag, ts, {rs('value')}, CASE WHEN o AND pr THEN 'Both' WHEN o THEN 'Outlier Only' ELSE 'Process Issue Only' END AS status, os AS outlier_score, ps AS process_issue_score, "
     f"{r('m - 2.5 * s', 'lower_limit')}, {r('m + 2.5 * s', 'upper_limit')}, related_tags, CASE WHEN greatest(os, ps) >= 4 THEN 'High' WHEN greatest(os, ps) >= 2.5 THEN 'Medium' ELSE 'Low' END AS severity FROM s WHERE o OR pr",
 )

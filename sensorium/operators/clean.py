@@ -118,7 +118,7 @@ def _z_unit(series: Series, df: DataFrame, columns: dict[str, str], policy: str)
 
 
 def _level_and_jump(series: Series, level: float, jump: float) -> DataFrame:
-    df = diff(series).withColumn("_jump", F.coalesce(F.abs("delta"), F.lit(0.0)))
+    df = settle(diff(series)).withColumn("_jump", F.coalesce(F.abs("delta"), F.lit(0.0)))
     df = _z_unit(series, df, {"l": "value", "j": "_jump"}, "unit")
     return bad_shares(series, df, {"level_bad": F.col("_z_l") > level, "jump_bad": F.col("_z_j") > jump})
 
@@ -158,7 +158,7 @@ def clean_score_steps(series: Series, level: float = 3.5, step: float = 4.0) ->
 
     The error is the value minus a constant, so its change equals the step itself.
     """
-    df = diff(series).withColumn("_d0", F.coalesce("delta", F.lit(0.0)))
+    df = settle(diff(series)).withColumn("_d0", F.coalesce("delta", F.lit(0.0)))
     df = _z_unit(series, df, {"l": "value", "d": "_d0"}, "std1")
     rows = bad_shares(series, df, {"level_bad": F.col("_z_l") > level, "step_bad": F.col("_z_d") > step})
     return rows.withColumn("score", 0.5 * F.col("level_bad") + 0.25 * F.col("step_bad") + 0.25 * F.col("step_bad"))

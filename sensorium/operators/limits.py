@@ -240,7 +240,7 @@ def clean_like_limits(
     margin: float = 0.12,
 ) -> DataFrame:
     """Broad limits, central band and step scale from readings that behave like the clean period."""
-    df = mark(diff(series), rows, "clean").withColumn("_c", F.when(yes(F.col("clean")), F.col("value")))
+    df = mark(settle(diff(series)), rows, "clean").withColumn("_c", F.when(yes(F.col("clean")), F.col("value")))
     counts = df.groupBy("tag").agg(F.count("_c").alias("_cn"))
     df = series.attach(counts, df)
     df = df.withColumn("_cv", F.when(F.col("_cn") < 5, F.col("value")).otherwise(F.col("_c")))
@@ -367,7 +367,7 @@ def consensus_baseline(
     full = center_mad(series, {"f": "value"})
     floor = F.greatest(F.lit(abs_floor), rel_floor * F.greatest(scale_of("f", "floor", min_mad), F.lit(abs_floor)))
     full = full.select("tag", F.col("f_n").alias("count"), floor.alias("off_floor"))
-    df = series.attach(full, diff(series))
+    df = series.attach(full, settle(diff(series)))
     off = F.abs("value") <= F.col("off_floor")
     shares = df.groupBy("tag").agg(
         (F.count_if(off) / F.count("value")).alias("_off"), F.count_if(~off).alias("_on"), F.count("delta").alias("_dn")

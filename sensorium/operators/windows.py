@@ -9,6 +9,7 @@ from sensorium.functions.scalar import micros, one, yes
 from sensorium.operators.stats import MAD_K, center_mad, scale_of
 from sensorium.plans.lane import POS, Lane
 from sensorium.series import Series
+from sensorium.session import settle
 
 
 # Classes besides "... Anomaly" that count as an excursion.
@@ -27,7 +28,7 @@ def diff(series: Series, column: str = "value", name: str = "delta") -> DataFram
 
 def delta_z(series: Series, policy: str = "floor", eps: float = 1e-9) -> DataFrame:
     """First difference over its robust scale."""
-    df = diff(series)
+    df = settle(diff(series))
     scales = center_mad(series, {"d": "delta"}, df).select("tag", scale_of("d", policy, eps).alias("delta_scale"))
     return series.attach(scales, df).withColumn("delta_z", F.col("delta") / F.col("delta_scale"))
 
@@ -81,7 +82,7 @@ def trend_gap_z(
             - median_over("value", w.rowsBetween(-(long - 1), 0), long_min)
         },
     )
-    df = lane.done()
+    df = settle(lane.done())
     scales = center_mad(series, {"g": "gap"}, df).select("tag", scale_of("g", "floor", floor).alias("gap_scale"))
     z = F.when(F.col("gap_scale") > floor, F.col("gap") / F.col("gap_scale"))
     return series.attach(scales, df).withColumn("z_gap", z)
@@ -150,7 +151,7 @@ def deviation_features(series: Series, eps: float = 1e-9) -> DataFrame:
             ),
         },
     )
-    df = lane.done()
+    df = settle(lane.done())
     stats = center_mad(series, {"r": "_resid", "h": "_change", "v": "_vol"}, df).select(
         "tag",
         scale_of("r", "std1", eps).alias("_rs"),
