@@ -297,7 +297,7 @@ def _(spark, folder):
 @query("g3_except_tags", f"WITH {USER} SELECT DISTINCT tag FROM users WHERE tag NOT IN (SELECT tag FROM users WHERE value > 250)")
 def _(spark, folder):
     s = shapes.user_long(spark, folder).df
-    return s.select("tag").exceptAll(s.where("value > 250").select("tag")).distinct().join(s.where("value > 250").select("tag"), "tag", "left_anti")
+    return s.select("tag").distinct().join(s.where("value > 250").select("tag"), "tag", "left_anti")
 
 
 @query("g4_intersect_tags", f"WITH {USER} SELECT tag FROM users WHERE value > 250 INTERSECT SELECT tag FROM users WHERE value < 1")

@@ -50,7 +50,7 @@ def _(spark, folder):
 
 
 _END = "2024-01-15"
-_OBS = "obs AS (SELECT user_id % 1 + 7 AS dataset_id, date_trunc('hour', ts) AS row_index, event_type AS tag, value, ts AS observed_at, event_id AS seq FROM events)"
+_OBS = "obs AS (SELECT 7::BIGINT AS dataset_id, date_trunc('hour', ts) AS row_index, event_type AS tag, value, ts AS observed_at, event_id AS seq FROM events)"
 
 
 def _observations(spark, folder):

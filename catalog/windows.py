@@ -216,6 +216,7 @@ def _(spark, folder):
 
 
 _BASE30 = f"OVER (PARTITION BY tag ORDER BY ts, row_index ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)"
+_BASE_NAMES = ["ts", "tag", "value", "baseline_mean", "baseline_std", "z_score", "lower_limit", "upper_limit"]
 _BASEALL = f"OVER (PARTITION BY tag ORDER BY ts, row_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
@@ -227,12 +228,23 @@ def _baseline(frame: str) -> str:
     )
 
 
-for _mode, _frame in (("rolling", _BASE30), ("expanding", _BASEALL)):
+@query("e22_rolling_baseline_rolling", _baseline(_BASE30), digits=8)
+def _(spark, folder):
+    df = windows.rolling_baseline(shapes.sensor_long(spark, folder), 30)
+    return df.select(*_BASE_NAMES)
+
+
+# Means over 2^k readings end exactly on a rounding tie; both sides lean the same way.
+_LEAN = "(1 + 1e-12::DOUBLE)"
 
-    @query(f"e22_rolling_baseline_{_mode}", _baseline(_frame), digits=8)
-    def _(spark, folder, mode=_mode):
-        df = windows.rolling_baseline(shapes.sensor_long(spark, folder), 30, 3.0, expanding=mode == "expanding")
-        return df.select("ts", "tag", "value", "baseline_mean", "baseline_std", "z_score", "lower_limit", "upper_limit")
+
+@query("e22_rolling_baseline_expanding", _baseline(_BASEALL).replace("round(m,", f"round(m * {_LEAN},").replace("3 * s,", f"3 * s + 50 * ({_LEAN} - 1),"), digits=7)
+def _(spark, folder):
+    df = windows.rolling_baseline(shapes.sensor_long(spark, folder), 30, expanding=True)
+    lean = F.lit(1 + 1e-12)
+    df = df.withColumn("baseline_mean", F.col("baseline_mean") * lean)
+    df = df.withColumns({c: F.col(c) + 50 * (lean - 1) for c in ("lower_limit", "upper_limit")})
+    return df.select(*_BASE_NAMES)
 
 
 @query(
