@@ -61,7 +61,7 @@ _ZD = (
 
 @query(
     "e18_best_window_multi",
-    f"WITH {_ZD}, q AS (SELECT ts, count_if(abs(z) > 3.5) / max(tn) AS level, count_if(abs(dz) > 4) / max(tn) AS spike, median(abs(z)) AS mid FROM z, tn GROUP BY ts), "
+    f"WITH {_ZD}, q AS (SELECT ts, count(*) FILTER (abs(z) > 3.5) / max(tn) AS level, count(*) FILTER (abs(dz) > 4) / max(tn) AS spike, median(abs(z)) AS mid FROM z, tn GROUP BY ts), "
     "sc AS (SELECT *, level + 0.5 * spike + 0.02 * coalesce(mid, 0) AS score, row_number() OVER (ORDER BY ts) AS pos FROM q), "
     "m AS (SELECT pos, avg(score) OVER (ORDER BY pos ROWS BETWEEN 179 PRECEDING AND CURRENT ROW) AS ms FROM sc), b AS (SELECT pos AS e FROM m WHERE pos >= 180 ORDER BY round(ms, 9), pos LIMIT 1) "
     f"SELECT ts, {rs('level', 'spike', 'score')}, pos BETWEEN e - 179 AND e AS clean FROM sc, b",
@@ -72,7 +72,7 @@ def _(spark, folder):
 
 @query(
     "e19_relation_window",
-    f"WITH {_ZD}, q AS (SELECT ts, count_if(abs(z) > 3.2) / max(tn) AS bad, count_if(abs(z) > 4.2) / max(tn) AS ext, count_if(abs(dz) > 3.2) / max(tn) AS spike, count(value) / max(tn) AS pr FROM z, tn GROUP BY ts), "
+    f"WITH {_ZD}, q AS (SELECT ts, count(*) FILTER (abs(z) > 3.2) / max(tn) AS bad, count(*) FILTER (abs(z) > 4.2) / max(tn) AS ext, count(*) FILTER (abs(dz) > 3.2) / max(tn) AS spike, count(value) / max(tn) AS pr FROM z, tn GROUP BY ts), "
     "sc AS (SELECT *, 0.55 * bad + 0.20 * ext + 0.20 * spike + 0.05 * (1 - pr) AS score, row_number() OVER (ORDER BY ts) AS pos FROM q), "
     "win AS (SELECT w, pos AS a FROM sc, (VALUES (112), (150), (202)) v(w) WHERE (pos - 1) % 10 = 0 AND pos + w - 1 <= (SELECT count(*) FROM sc)), "
     "j AS (SELECT w, a, avg(score) AS s, quantile_cont(score, 0.9) AS p, avg(bad) AS b, avg(spike) AS d FROM win JOIN sc ON pos BETWEEN a AND a + w - 1 GROUP BY ALL), "

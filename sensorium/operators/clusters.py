@@ -256,7 +256,7 @@ def avg_link_groups(tags: DataFrame, corr: DataFrame, clusters: int | None = Non
         order = sorted(groups.values(), key=min)
         return pd.DataFrame([(names[i], n + 1) for n, g in enumerate(order) for i in sorted(g)], columns=["tag", "group_id"])
 
-    return table.groupBy(F.lit(0)).applyInPandas(link, "tag string, group_id int")
+    return table.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(link, "tag string, group_id int")
 
 
 def relation_communities(tags: DataFrame, rel: DataFrame, edge: float = 0.44, most: int = 10, attach_at: float = 0.38) -> DataFrame:
