@@ -12,8 +12,8 @@ FOLDER = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4)
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session = local_session(8)
+    session.conf.set("spark.sql.shuffle.partitions", "3")
     yield session
     session.stop()
 
