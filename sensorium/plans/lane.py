@@ -107,26 +107,27 @@ class Lane:
         ``sum count max min last``. ``following`` runs over later rows instead;
         ``last`` then means the nearest non-null value at or after the row.
         """
-        span = (Window.unboundedPreceding, 0) if not following else (0, Window.unboundedFollowing)
+        # Later rows are earlier rows of the reversed order: growing frames are linear in
+        # the rows, shrinking ones are not.
+        span = (Window.unboundedPreceding, 0)
         if self.whole:
-            spec = self._spec().rowsBetween(*span)
-            out = {n: _fold(kind, F.col(c), following).over(spec) for n, (kind, c) in columns.items()}
+            order = [F.desc(c) for c in self.order] if following else self.order
+            spec = Window.partitionBy(*self.keys).orderBy(*order).rowsBetween(*span)
+            out = {n: _fold(kind, F.col(c)).over(spec) for n, (kind, c) in columns.items()}
             return self._next(self.df.withColumns(out))
         blocked = self.df.withColumn(BLK, F.floor((F.col(POS) - 1) / self.block).cast("long"))
-        spec = Window.partitionBy(*self.keys, BLK).orderBy(POS).rowsBetween(*span)
-        inner = blocked.withColumns(
-            {n: _fold(kind, F.col(c), following).over(spec) for n, (kind, c) in columns.items()}
-        )
+        at, by = (F.desc(POS), F.desc(BLK)) if following else (F.col(POS), F.col(BLK))
+        spec = Window.partitionBy(*self.keys, BLK).orderBy(at).rowsBetween(*span)
+        inner = blocked.withColumns({n: _fold(kind, F.col(c)).over(spec) for n, (kind, c) in columns.items()})
         totals = blocked.groupBy(*self.keys, BLK).agg(
             *[_total(kind, c, following).alias(f"_t_{n}") for n, (kind, c) in columns.items()]
         )
-        edge = (Window.unboundedPreceding, -1) if not following else (1, Window.unboundedFollowing)
-        outer = Window.partitionBy(*self.keys).orderBy(BLK).rowsBetween(*edge)
+        outer = Window.partitionBy(*self.keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
         offsets = totals.select(
             *self.keys,
             BLK,
             *[
-                _fold("sum" if kind == "count" else kind, F.col(f"_t_{n}"), following).over(outer).alias(f"_o_{n}")
+                _fold("sum" if kind == "count" else kind, F.col(f"_t_{n}")).over(outer).alias(f"_o_{n}")
                 for n, (kind, _) in columns.items()
             ],
         )
@@ -175,15 +176,15 @@ class Lane:
         return lane
 
 
-def _fold(kind: str, column: Column, following: bool) -> Column:
+def _fold(kind: str, column: Column) -> Column:
     if kind == "last":
-        return F.first(column, True) if following else F.last(column, True)
+        return F.last(column, True)
     return {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[kind](column)
 
 
 def _total(kind: str, column: str, following: bool) -> Column:
     if kind != "last":
-        return _fold(kind, F.col(column), following)
+        return _fold(kind, F.col(column))
     pick = F.min_by if following else F.max_by
     return pick(F.col(column), F.when(F.col(column).isNotNull(), F.col(POS)))
 
