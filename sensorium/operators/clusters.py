@@ -348,7 +348,8 @@ def cluster_zscore(series: Series) -> DataFrame:
             "peer_down": _share("peers", lambda p: p["v"] <= -2.0),
         }
     )
-    return df.withColumns(_zscore_decision()).drop("_rc", "_rs", "peers", "pos")
+    df = settle(df.drop("_rc", "_rs", "peers", "pos"))
+    return df.withColumns(_zscore_decision())
 
 
 def _array_median(cells: str) -> Column:
@@ -543,6 +544,8 @@ def cluster_consistency(series: Series) -> DataFrame:
             "reliable": yes((F.col("r2") >= 0.5) | (F.col("peer_corr") >= 0.60)),
         }
     )
+    # Written down so that the array work above is not repeated in every rule below.
+    df = settle(df.drop("peers"))
     rz, cd, ps = F.coalesce(F.abs("residual_z"), F.lit(0.0)), F.coalesce("cluster_diff_z", F.lit(0.0)), F.col("peer_support")
     severe = (rz >= 8) & (cd >= 5.5) & (ps <= 0.20) & (z >= 3)
     moderate = (rz >= 7) & (cd >= 4.5) & (ps <= 0.25) & (z >= 3) & F.col("reliable")
