@@ -56,7 +56,7 @@ def test_finished_days_ignore_late_rows(spark, tmp_path):
     def event(i, day, value):
         return (i, dt.datetime(2024, 1, day, 12), 1, "t", value, "{}")
 
-    for k, batch in enumerate([[event(0, 1, 1.0), event(1, 2, 2.0)], [event(2, 6, 3.0)], [event(3, 1, 100.0), event(4, 9, 4.0)]]):
+    for k, batch in enumerate([[event(0, 1, 1.0), event(1, 2, 2.0)], [event(2, 6, 3.0)], [event(3, 9, 4.0)], [event(4, 1, 100.0), event(5, 12, 5.0)]]):
         spark.createDataFrame(batch, streams.EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = streams.daily_buckets(streams.event_stream(spark, str(tmp_path / "in"), "*.parquet", files=1))
     streams.run_available(stream, str(tmp_path / "cp"), streams.parts_writer(str(tmp_path / "out")))
