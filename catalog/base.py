@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, ShortType
 
+from sensorium.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -18,6 +20,7 @@ def query(name: str, sql: str | None = None, digits: int = 6) -> Callable[[Query
 
     def wrap(fn: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
             return tidy(fn(spark, folder), digits)
 
         run.__name__ = name
