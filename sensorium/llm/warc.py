@@ -169,13 +169,13 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """
     scratch = Scratch(spark)
     pieces = scratch.keep(candidates(spark, path, scratch, payloads))
-    true = scratch.keep(reached(pieces, scratch).withColumn("true", F.lit(True)))
+    true = scratch.keep(reached(pieces, scratch).withColumn("on_chain", F.lit(True)))
     marked = scratch.keep(pieces.join(true, ["file", "offset"], "left"))
-    heads = marked.filter("true")
+    heads = marked.filter("on_chain")
     # records that a version line cuts: their other pieces lie before the next record
     spans = heads.filter("rest is not null and next is not null").select("file", F.col("offset").alias("record"), "next")
     cut = F.struct(F.lit(0).alias("order"), F.col("record"), F.col("next")).alias("own")
-    others = marked.filter("true is null").select("file", "offset")
+    others = marked.filter("on_chain is null").select("file", "offset")
     run = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     belongs = (
         others.withColumn("own", F.lit(None).cast("struct<order:int,record:bigint,next:bigint>"))
@@ -184,7 +184,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         .filter("own is null and last is not null and offset < last.next")
         .select("file", "offset", F.col("last.record").alias("record"))
     )
-    tails = marked.filter("true is null").join(scratch.keep(belongs), ["file", "offset"])
+    tails = marked.filter("on_chain is null").join(scratch.keep(belongs), ["file", "offset"])
     tails = scratch.keep(tails.select("file", "record", "offset", "rest"))
     if not tails.filter("rest is null").isEmpty():
         # a quoted record in a split after the one where its payload begins: read again
