@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorium.llm import minmax, rendezvous, urls, warc
+from sensorium.llm import fmindex, minmax, rendezvous, sentences, urls, warc
 from sensorium.llm.base import table
 from sensorium.session import shared_folder, ship
 
@@ -88,3 +88,30 @@ FROM h LEFT JOIN best USING (page_id)
 def url_rules(spark: SparkSession, folder: str) -> DataFrame:
     """The contract's rules, then the default rules, on every page."""
     return urls.judge(table(spark, folder, "pages"), URL_RULES + urls.DEFAULT_RULES)
+
+
+@query("op9_fm_index_decontamination")
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark windows of 13 words found in all documents."""
+    docs = fmindex.with_contamination(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    found = F.col("found")
+    return docs.select(
+        "doc_id",
+        found["n_words"].alias("n_words"),
+        found["n_hit"].alias("n_hit"),
+        F.size(found["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(found["items"], ",").cast("binary"), 256).alias("items_sha256"),
+        fmindex.contaminated(found).alias("contaminated"),
+    )
+
+
+@query("op10_sentence_toxicity")
+def toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents scored by a model of the labels outside the held-out fifth."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    fold = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 5
+    model = sentences.train(docs, labels.filter(fold("doc_id") != 0))
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score")))
+    return sentences.with_score(docs.select("doc_id", "text"), model).select(
+        "doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), score.alias("score"), (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
