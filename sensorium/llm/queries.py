@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorium.llm import fmindex, minmax, rendezvous, sentences, urls, warc
+from sensorium.llm import fmindex, minmax, pieces, rendezvous, sentences, tagpaths, urls, warc
 from sensorium.llm.base import table
 from sensorium.session import shared_folder, ship
 
@@ -115,3 +115,22 @@ def toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return sentences.with_score(docs.select("doc_id", "text"), model).select(
         "doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), score.alias("score"), (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query("op2_tag_path_main_text")
+def main_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return tagpaths.with_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+#: Where the public model lies; a parameter of the operator.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op4_sentencepiece_codec")
+def codec(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document, their text again, and whether it is the document's."""
+    docs = pieces.with_pieces(table(spark, folder, "documents").select("doc_id", "text"), PIECE_MODEL)
+    text = pieces.decoded(docs, PIECE_MODEL)
+    return docs.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", F.coalesce(F.translate("text", pieces.MARK, " ") == text, F.lit(True)).alias("round_trip"))
