@@ -141,6 +141,33 @@ def _bare(path: str) -> Tokenizer:
     return build(replace(load(path)[0], dummy_prefix=False))
 
 
+def _segment_ids(tokenizer: Tokenizer, segments: list[str], together: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each segment, and all ids in a row.
+
+    Segments that begin with a space and end with none are put together to longer texts,
+    which the pre-tokeniser cuts at just these places, and encoded in one batch.
+    """
+    plain = [k for k, x in enumerate(segments) if x[0] == " " and x[-1] != " " and MARK not in x]
+    other = sorted(set(range(len(segments))) - set(plain))
+    order = np.array(plain + other, np.int64)
+    sizes, parts = [], []
+    groups = [plain[k : k + together] for k in range(0, len(plain), together)]
+    for group, e in zip(groups, tokenizer.encode_batch(["".join(segments[k] for k in g) for g in groups], add_special_tokens=False), strict=True):
+        sizes.append(np.bincount(e.word_ids, minlength=len(group)))
+        parts.append(np.array(e.ids, np.int32))
+    for e in tokenizer.encode_batch_fast([segments[k] for k in other], add_special_tokens=False):
+        sizes.append(np.array([len(e.ids)]))
+        parts.append(np.array(e.ids, np.int32))
+    flat = np.concatenate([np.empty(0, np.int32), *parts])
+    size = np.concatenate([np.empty(0, np.int64), *sizes])
+    # back to the order of the segments
+    begin = np.cumsum(size) - size
+    by = np.argsort(order)
+    size, begin = size[by], begin[by]
+    place = np.cumsum(size) - size
+    return size, flat[np.arange(len(flat)) - np.repeat(place, size) + np.repeat(begin, size)]
+
+
 class Seen:
     """Segments that a worker has encoded, by 64-bit hash; begins anew at ``most`` segments.
 
@@ -160,9 +187,7 @@ class Seen:
         at = np.searchsorted(self.keys, keys)
         return self.keys[np.minimum(at, len(self.keys) - 1)] == keys if len(self.keys) else np.zeros(len(keys), bool)
 
-    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
-        size = np.array([len(x) for x in ids], np.int64)
-        more = np.fromiter((x for d in ids for x in d), np.int32, int(size.sum()))
+    def add(self, keys: np.ndarray, size: np.ndarray, more: np.ndarray) -> None:
         begin = np.cumsum(size) - size + len(self.flat)
         keys, begin, size = (np.concatenate(x) for x in ((self.keys, keys), (self.begin, begin), (self.size, size)))
         by = np.argsort(keys, kind="stable")
@@ -232,7 +257,7 @@ class Codec:
         _, one, which = np.unique(keys, return_index=True, return_inverse=True)
         new = one[~seen.knows(keys[one])]
         own = [(" " if lead[k] else "") + raw[start[k] : end[k]].tobytes().decode() for k in new]
-        seen.add(keys[new], [e.ids for e in _bare(self.path()).encode_batch_fast(own, add_special_tokens=False)])
+        seen.add(keys[new], *_segment_ids(_bare(self.path()), own))
         begin, sizes, flat = seen.of(keys[one])
         count = sizes[which]
         place = np.cumsum(count) - count

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorium.llm import fmindex, minmax, pieces, rendezvous, sentences, tagpaths, urls, warc
+from sensorium.llm import fmindex, minmax, partitions, pieces, rendezvous, sentences, tagpaths, urls, warc
 from sensorium.llm.base import table
 from sensorium.session import shared_folder, ship
 
@@ -134,3 +134,9 @@ def codec(spark: SparkSession, folder: str) -> DataFrame:
     docs = pieces.with_pieces(table(spark, folder, "documents").select("doc_id", "text"), PIECE_MODEL)
     text = pieces.decoded(docs, PIECE_MODEL)
     return docs.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", F.coalesce(F.translate("text", pieces.MARK, " ") == text, F.lit(True)).alias("round_trip"))
+
+
+@query("op7_learned_partitions")
+def nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth one."""
+    return partitions.search(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
