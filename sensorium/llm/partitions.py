@@ -189,16 +189,18 @@ def search(vectors: DataFrame, queries: Column, id_column: str = "vec_id", vecto
     load = F.broadcast(scratch.keep(load.select("part", F.ceil(F.col("n") / block).cast("int").alias("nb"), F.ceil(F.col("q") / block).cast("int").alias("qb"))))
     own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     left = filed.join(load, "part").select("key", "vector", "least", "part", own("nb").alias("i"), F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("j"))
-    right = sent.join(load, "part").select("key", "vector", "part", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), own("qb").alias("j"))
+    right = sent.join(load, "part").select(
+        F.col("key").alias("key2"), F.col("vector").alias("vector2"), F.col("part").alias("part2"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i2"), own("qb").alias("j2")
+    )
 
-    def matrix(table: pa.Table) -> np.ndarray:
-        return np.array(table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, dimension)
+    def matrix(table: pa.Table, name: str) -> np.ndarray:
+        return np.array(table.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, dimension)
 
     def compare(points_: pa.Table, queries_: pa.Table) -> pa.Table:
         out = [[], [], []]
         if points_.num_rows and queries_.num_rows:
-            data, asked_ = matrix(points_), matrix(queries_)
-            least, keys, names = (np.array(t.column(c)) for t, c in ((points_, "least"), (points_, "key"), (queries_, "key")))
+            data, asked_ = matrix(points_, "vector"), matrix(queries_, "vector2")
+            least, keys, names = (np.array(t.column(c)) for t, c in ((points_, "least"), (points_, "key"), (queries_, "key2")))
             for a in range(0, len(asked_), 256):
                 score = asked_[a : a + 256] @ data.T
                 cut = -np.partition(-score, min(k, score.shape[1] - 1), 1)[:, min(k, score.shape[1] - 1)]
@@ -211,8 +213,7 @@ def search(vectors: DataFrame, queries: Column, id_column: str = "vec_id", vecto
         flat = [np.concatenate(x) if x else np.empty(0, t) for x, t in zip(out, (np.int64, np.int64, float), strict=True)]
         return pa.table(dict(zip(("query", "key", "score"), flat, strict=True)))
 
-    tile = ["part", "i", "j"]
-    met = left.groupBy(*tile).cogroup(right.groupBy(*tile)).applyInArrow(compare, "query long, key long, score double")
+    met = left.groupBy("part", "i", "j").cogroup(right.groupBy("part2", "i2", "j2")).applyInArrow(compare, "query long, key long, score double")
     ids = points.select("key", "ids")
     # tie break by the smallest id, as in the tiles
     met = scratch.keep(met).join(ids, "key")
