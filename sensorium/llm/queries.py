@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorium.llm import fmindex, minmax, partitions, pieces, rendezvous, sentences, tagpaths, urls, warc
+from sensorium.llm import fmindex, licences, minmax, partitions, pieces, rendezvous, sentences, tagpaths, urls, warc
 from sensorium.llm.base import table
 from sensorium.session import shared_folder, ship
 
@@ -140,3 +140,52 @@ def codec(spark: SparkSession, folder: str) -> DataFrame:
 def nearest(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth one."""
     return partitions.search(table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
+_LICENCE_SQL = """
+WITH templates(licence, header) AS (VALUES %s),
+files AS (
+  SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS folder,
+    list_distinct(list_filter(string_split(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '([.!?])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)), lambda x : regexp_matches(x, 'licen[sc]e|copyright|spdx'))) AS headers,
+    length(coalesce(text, '')) <= 400 AS short
+  FROM documents
+), paths AS (
+  SELECT *, folder || '/' || CASE WHEN short AND len(headers) > 0 THEN 'LICENSE-' || doc_id ELSE doc_id || '.txt' END AS path FROM files
+), held AS (SELECT doc_id, path, folder, unnest(headers) AS header FROM paths),
+every AS (
+  SELECT DISTINCT header, NULL AS licence FROM held
+  UNION ALL SELECT translate(header, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), licence FROM templates
+), terms AS (
+  SELECT header, licence, token, count(*) AS tf FROM (SELECT header, licence, unnest(regexp_extract_all(header, '[a-z0-9]+')) AS token FROM every) GROUP BY ALL
+), idf AS (SELECT token, ln((1.0 + (SELECT count(*) FROM every)) / (1.0 + count(*))) + 1.0 AS idf FROM terms GROUP BY token),
+weighed AS (SELECT header, licence, token, tf * idf AS w FROM terms JOIN idf USING (token)),
+ours AS (SELECT header, sqrt(sum(w * w)) AS n FROM weighed WHERE licence IS NULL GROUP BY header),
+theirs AS (SELECT licence, sqrt(sum(w * w)) AS n FROM weighed WHERE licence IS NOT NULL GROUP BY licence),
+dots AS (
+  SELECT a.header, b.licence, sum(a.w * b.w) AS dot FROM weighed a JOIN weighed b ON a.token = b.token AND a.licence IS NULL AND b.licence IS NOT NULL GROUP BY ALL
+), near AS (
+  SELECT header, licence, round(dot / (ours.n * theirs.n), 9) AS score FROM dots JOIN ours USING (header) JOIN theirs USING (licence)
+), best AS (
+  SELECT header, licence, score FROM near WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY header ORDER BY score DESC, licence) = 1
+), own AS (
+  SELECT doc_id, path, folder, licence, score FROM held JOIN best USING (header)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, licence) = 1
+), given AS (
+  SELECT folder, licence, score FROM own WHERE path LIKE '%%/LICENSE-%%' QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, path) = 1
+)
+SELECT p.doc_id, p.path, coalesce(o.licence, g.licence) AS licence, round(coalesce(o.score, g.score), 6) AS score,
+  CASE WHEN o.licence IS NOT NULL THEN 'header' WHEN g.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin
+FROM paths p LEFT JOIN own o USING (doc_id) LEFT JOIN given g ON p.folder = g.folder
+""" % ", ".join(f"('{k}', '{v}')" for k, v in sorted(licences.TEMPLATES.items()))
+
+
+@query("op5_licence_scan", _LICENCE_SQL)
+def licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files of the folders source/lang; short texts with a header are their folder's licence files."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    short = (F.length(F.coalesce("text", F.lit(""))) <= 400) & (F.size(licences.headers_of(F.col("text"))) > 0)
+    name = F.when(short, F.concat(F.lit("LICENSE-"), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), name)
+    found = licences.scan(docs.withColumn("path", path), id_column="doc_id")
+    return found.select(F.col("id").alias("doc_id"), "path", "licence", F.round("score", 6).alias("score"), "origin")
