@@ -297,5 +297,5 @@ def without_spans(text: Column, spans: Column) -> Column:
     raw = text.cast("binary")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["stop"]))
     starts = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.octet_length(text).cast("long")))
-    kept = F.zip_with(ends, starts, lambda a, b: F.decode(F.substr(raw, (a + 1).cast("int"), (b - a).cast("int")), F.lit("utf-8")))
+    kept = F.zip_with(ends, starts, lambda a, b: F.decode(F.substr(raw, (a + 1).cast("int"), (b - a).cast("int")), "utf-8"))
     return F.array_join(kept, "")

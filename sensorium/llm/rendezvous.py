@@ -24,7 +24,10 @@ def choose(key: Column, weights: Mapping[int, float]) -> Column:
     give equal expected counts; equal numbers go to the smaller shard.
     """
     # the smallest -ln(u) / weight, with the shard as tie break
-    return F.least(*[F.struct((-F.log(unit_hash(key, s)) / F.lit(float(w))).alias("cost"), F.lit(int(s)).alias("shard")) for s, w in sorted(weights.items()) if w > 0])["shard"]
+    costs = [F.struct((-F.log(unit_hash(key, s)) / F.lit(float(w))).alias("cost"), F.lit(int(s)).alias("shard")) for s, w in sorted(weights.items()) if w > 0]
+    if not costs:
+        raise ValueError("no shard has a weight above 0")
+    return F.array_min(F.array(*costs))["shard"]
 
 
 def shard(docs: DataFrame, weights: Mapping[int, float], grown: Mapping[int, float] | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
