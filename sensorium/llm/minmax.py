@@ -98,16 +98,31 @@ def _signed(df: DataFrame, size: int, permutations: int, rows: int) -> DataFrame
     return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, n long, print binary, bands array<long>")
 
 
-def _with_sets(df: DataFrame, size: int) -> DataFrame:
+def _membership(scratch: Scratch, ids: DataFrame, words: int = 1 << 20) -> np.ndarray:
+    """A Bloom filter of the hashes in ``h``, of fixed size: 2^26 bits, 8 MB."""
+    word = F.pmod("h", F.lit(words)).alias("word")
+    table = ids.groupBy(word).agg(F.bit_or(F.expr("1L << cast((h >> 40) & 63 as int)")).alias("bits")).toArrow()
+    out = np.zeros(words, np.uint64)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _with_sets(df: DataFrame, size: int, member: np.ndarray) -> DataFrame:
+    """``id, print, grams`` of the rows whose hash ``h`` may be a member; other texts stay where they are."""
+    sent = df.sparkSession.sparkContext.broadcast(member)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            sets = shingle_sets(*text_bytes(batch.column("text")), size)
-            same = pa.array([a == b for a, b in zip(fingerprints(sets), batch.column("print").to_pylist(), strict=True)])
-            flat = np.concatenate(sets).view(np.int64)
-            out = pa.RecordBatch.from_arrays([batch.column("node"), lists(flat, [len(s) for s in sets], pa.int64())], ["node", "grams"])
-            yield out.filter(same)
+        for whole in batches:
+            h = whole.column("h").to_numpy()
+            at = np.flatnonzero((sent.value[h % len(sent.value)] >> ((h >> 40) & 63).astype(np.uint64)) & np.uint64(1))
+            for batch in slices(iter([whole.take(pa.array(at))]), "text"):
+                sets = shingle_sets(*text_bytes(batch.column("text")), size)
+                flat = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id"), pa.array(fingerprints(sets), pa.binary()), lists(flat, [len(s) for s in sets], pa.int64())], ["id", "print", "grams"]
+                )
 
-    return df.mapInArrow(run, "node long, grams array<long>")
+    return df.mapInArrow(run, f"id {df.schema['id'].dataType.simpleString()}, print binary, grams array<long>")
 
 
 def _cells(df: DataFrame, cells: int = 64) -> DataFrame:
@@ -212,9 +227,11 @@ def near_groups(
     inside = keep(spread.join(shared, "bucket"))
 
     wanted = keep(inside.select("node").distinct())
-    owners = keep(reps.join(wanted, "node").select("node", "least", "print"))
-    found = texts.join(owners, texts["id"].eqNullSafe(owners["least"])).select("node", "print", "text")
-    sets = keep(_with_sets(found, words).dropDuplicates(["node"]))
+    hashed = F.xxhash64(F.col("id").cast("string")).alias("h")
+    owners = keep(reps.join(wanted, "node").select("node", F.col("least").alias("id"), F.col("print").alias("own")))
+    found = _with_sets(texts.select("id", "text", hashed), words, _membership(scratch, owners.select(hashed)))
+    same = found["id"].eqNullSafe(owners["id"]) & (found["print"] == owners["own"])
+    sets = keep(found.join(owners, same).select("node", "grams").dropDuplicates(["node"]))
 
     def confirm(pairs: DataFrame) -> None:
         """``pairs``: a, b, distinct. Merge those that are linked on their full sets."""
