@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DoubleType, FloatType, IntegerType, ShortType
 
-from sensorium.session import ship
+from sensorium.session import shared_folder, ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +35,11 @@ def query(name: str, sql: str | None = None, digits: int = 6) -> Callable[[Query
     return wrap
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    return f"{shared_folder(spark)}/entry-{uuid.uuid4().hex}"
+
+
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     out = []
     for field in df.schema.fields:

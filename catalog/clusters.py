@@ -107,10 +107,15 @@ def _(spark, folder):
     return clusters.relation_communities(s.df.select("tag").distinct(), pairs.tag_relationships(s, 3))
 
 
-@query("j9_avg_link_groups")
+@query(
+    "j9_strong_groups",
+    f"WITH RECURSIVE {SHIP}, p AS ({_corr('ship')}), e AS (SELECT tag_a AS a, tag_b AS b FROM p WHERE abs(r) >= 0.70 UNION ALL SELECT tag_b, tag_a FROM p WHERE abs(r) >= 0.70), "
+    "rc AS (SELECT DISTINCT tag AS src, tag AS dst FROM ship UNION SELECT rc.src, e.b FROM rc JOIN e ON rc.dst = e.a), lb AS (SELECT src AS tag, min(dst) AS label FROM rc GROUP BY src) "
+    "SELECT tag, dense_rank() OVER (ORDER BY label) AS group_id FROM lb",
+)
 def _(spark, folder):
     s = shapes.ship_daily(spark, folder)
-    return clusters.avg_link_groups(s.df.select("tag").distinct(), pairs.pearson(s), cut=0.5)
+    return clusters.strong_groups(s.df.select("tag").distinct(), pairs.pearson(s))
 
 
 @query("d48_pc1_fit")

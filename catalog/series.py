@@ -1,10 +1,8 @@
 """Reading, shaping and filtering series."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
-from catalog.base import HOURLY, ORDERS, PATHS, SENSOR, SHIP, SHIP_TAGS, SHIPW, USER, query, r, rs
+from catalog.base import HOURLY, ORDERS, PATHS, SENSOR, SHIP, SHIP_TAGS, SHIPW, USER, query, r, rs, scratch_folder
 from sensorium.functions.scalar import to_number
 from sensorium.operators import rows
 from sensorium.sources import ingest, shapes, store, wide
@@ -15,7 +13,7 @@ TYPES = ["click", "error", "purchase", "signup", "view"]
 @query("a1_read_series_csv", f"WITH {ORDERS} SELECT ts, tag, {rs('value')} FROM ords")
 def _(spark, folder):
     """Readings written as CSV, then read, detected and cleaned without being told the layout."""
-    out = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    out = scratch_folder(spark)
     shapes.order_daily(spark, folder).df.select("ts", "tag", "value").write.mode("overwrite").option("header", True).csv(f"{out}/long.csv")
     return ingest.load_series(ingest.read_series(spark, f"{out}/long.csv")).df.select("ts", "tag", "value")
 
@@ -122,7 +120,7 @@ def _(spark, folder):
 )
 def _(spark, folder):
     """A14 and A15: runs appended as partitions, then one of them replaced."""
-    out = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    out = scratch_folder(spark)
     e = shapes.table(spark, folder, "events").select(F.col("event_type").alias("run_id"), "event_id", "value")
     store.append_run(e, f"{out}/points")
     store.replace_children(e.where("run_id = 'view'").withColumn("value", F.col("value") + 1), f"{out}/points")
@@ -131,7 +129,7 @@ def _(spark, folder):
 
 @query("a16_write_result_set", f"WITH {USER}, s AS (SELECT tag, count(*) AS n, max(value) AS top FROM users GROUP BY tag) SELECT tag, n, {rs('top')} FROM s")
 def _(spark, folder):
-    out = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    out = scratch_folder(spark)
     s = shapes.user_long(spark, folder).df
     store.export_tables({"tags": s.groupBy("tag").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))}, out)
     return spark.read.schema("tag string, n long, top double").option("header", True).csv(f"{out}/tags")

@@ -1,10 +1,8 @@
 """Streams over the event table, read back as tables."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
-from catalog.base import SENSOR, center_scale, query, r, rs
+from catalog.base import SENSOR, center_scale, query, r, rs, scratch_folder
 from catalog.windows import _BASE30, _baseline
 from sensorium.operators import stats
 from sensorium.sources import shapes
@@ -12,7 +10,7 @@ from sensorium.streaming import streams
 
 
 def _run(spark, stream, write, mode="append"):
-    base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    base = scratch_folder(spark)
     streams.run_available(stream, f"{base}/checkpoint", write(base), mode)
     return spark.read.parquet(f"{base}/out").drop("batch")
 

@@ -130,7 +130,7 @@ def consistency_window(series: Series, width: int = 180) -> DataFrame:
     n = rows.count()
     tries = [width] if n >= width else [w for w in (150, 120, 90, 60, 45, 30, 25, 20, 15, 10, 8, 6, 5, 4, 3, 2) if w <= n]
     best = None
-    for w in tries or [n]:
+    for w in tries if n >= width else [n, *tries]:
         m = window_means(rows, ["score"], w).where("m_score IS NOT NULL")
         got = m.agg(F.min(F.struct(F.round("m_score", 9).alias("s"), F.col("pos").alias("p"))).alias("b")).select("b.s", "b.p").first()
         if best is None or got["s"] < best[0]:
@@ -156,6 +156,8 @@ def relation_window(series: Series, sizes: Sequence[int] = (112, 150, 202), step
         last = F.least(F.floor((F.col("pos") - 1) / step), F.lit((n - w) // step))
         m = rows.where(first <= last).select(F.explode(F.sequence(first, last)).alias("k"), "score", "bad", "spike").withColumn("w", F.lit(w))
         parts = m if parts is None else parts.unionByName(m)
+    if parts is None:
+        raise ValueError(f"no window of {min(sizes)} rows fits into {n} rows")
     judged = parts.groupBy("w", "k").agg(
         F.avg("score").alias("s"), F.percentile("score", F.lit(0.9)).alias("p"), F.avg("bad").alias("b"), F.avg("spike").alias("d")
     )
@@ -223,40 +225,11 @@ def cluster_table(members: DataFrame, corr: DataFrame) -> DataFrame:
     return members.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("size")).join(inner, "cluster_id", "left")
 
 
-def avg_link_groups(tags: DataFrame, corr: DataFrame, clusters: int | None = None, cut: float | None = None) -> DataFrame:
-    """Average-linkage groups on 1 - |r| until ``clusters`` are left or the distance passes ``cut``.
-
-    The linkage works on the finished tag × tag table, whose size is checked, not on readings.
-    """
-    if tags.limit(2001).count() > 2000:
-        raise ValueError("too many tags for linkage; use corr_clusters")
-    nodes = tags.select("tag", F.lit("").alias("other"), F.lit(0.0).alias("r"))
-    table = nodes.unionByName(corr.select(F.col("tag_a").alias("tag"), F.col("tag_b").alias("other"), F.coalesce("r", F.lit(0.0)).alias("r")))
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["tag"]) | (set(pdf["other"]) - {""}))
-        at = {t: i for i, t in enumerate(names)}
-        d = np.ones((len(names), len(names)))
-        for t, o, r in zip(pdf["tag"], pdf["other"], pdf["r"]):
-            if o:
-                d[at[t], at[o]] = d[at[o], at[t]] = 1 - abs(r)
-        np.fill_diagonal(d, np.inf)
-        groups = {i: [i] for i in range(len(names))}
-        want = 1 if clusters is None else clusters
-        while len(groups) > want:
-            i, j = divmod(int(np.argmin(d)), len(names))
-            if not np.isfinite(d[i, j]) or (cut is not None and d[i, j] > cut):
-                break
-            ni, nj = len(groups[i]), len(groups[j])
-            merged = (ni * d[i] + nj * d[j]) / (ni + nj)
-            d[i], d[:, i] = merged, merged
-            d[i, i] = np.inf
-            d[j], d[:, j] = np.inf, np.inf
-            groups[i] += groups.pop(j)
-        order = sorted(groups.values(), key=min)
-        return pd.DataFrame([(names[i], n + 1) for n, g in enumerate(order) for i in sorted(g)], columns=["tag", "group_id"])
-
-    return table.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(link, "tag string, group_id int")
+def strong_groups(tags: DataFrame, corr: DataFrame, threshold: float = 0.70) -> DataFrame:
+    """Groups of tags joined by |r| of at least ``threshold``, numbered by their smallest tag."""
+    labels = components(tags, corr.where(F.abs("r") >= threshold))
+    order = Lane(labels.groupBy("label").agg(F.count(F.lit(1)).alias("_n")), [], ["label"]).numbered("group_id").done()
+    return labels.join(order.select("label", "group_id"), "label").select("tag", "group_id")
 
 
 def relation_communities(tags: DataFrame, rel: DataFrame, edge: float = 0.44, most: int = 10, attach_at: float = 0.38) -> DataFrame:
@@ -275,9 +248,12 @@ def relation_communities(tags: DataFrame, rel: DataFrame, edge: float = 0.44, mo
     groups = settle(groups)
     sizes = settle(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("_n")))
     singles = groups.join(sizes.where("_n = 1"), "grp").select("tag")
-    homes = groups.join(sizes.where((F.col("_n") > 1) & (F.col("_n") < most)), "grp").select(F.col("tag").alias("tag_b"), "grp")
+    homes = groups.join(sizes.where("_n > 1"), "grp").select(F.col("tag").alias("tag_b"), "grp", F.col("_n"))
     offers = ways.join(singles.select(F.col("tag").alias("tag_a")), "tag_a").join(homes, "tag_b").where(F.col("score") >= attach_at)
-    moved = top_n_per_group(offers, ["tag_a"], [F.desc("score"), F.col("grp")], 1).select(F.col("tag_a").alias("tag"), F.col("grp").alias("_to"))
+    best = top_n_per_group(offers, ["tag_a"], [F.desc("score"), F.col("grp")], 1)
+    # a group takes its best singles up to the limit; the others stay alone
+    turn = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("score"), "tag_a"))
+    moved = best.withColumn("_turn", turn).where(F.col("_n") + F.col("_turn") <= most).select(F.col("tag_a").alias("tag"), F.col("grp").alias("_to"))
     out = groups.join(moved, "tag", "left").select("tag", F.coalesce("_to", "grp").alias("grp"))
     ids = out.groupBy("grp").agg(F.min("tag").alias("_f"))
     ids = Lane(ids, [], ["_f"]).numbered("_g").done()
@@ -333,6 +309,7 @@ def cluster_zscore(series: Series) -> DataFrame:
     base = base.withColumn("_res", F.col("z") - F.coalesce("_pm", F.lit(0.0)))
     res = center_mad(series, {"r": "_res"}, base)
     res = res.select("tag", F.col("r_center").alias("_rc"), F.greatest(F.coalesce("r_std", F.lit(EPS)), scale_of("r", "std1", EPS), F.lit(EPS)).alias("_rs"))
+    res = res.withColumn("_rs", F.when(F.col("_rs") > EPS, F.col("_rs")).otherwise(1.0))
     signed = peer_rows(df, links, series.tags, 8)
     df = df.join(signed, ["tag", "pos"], "left").withColumn("peers", F.coalesce("peers", F.array().cast(signed.schema["peers"].dataType)))
     df = series.attach(res, df)
@@ -510,7 +487,7 @@ def cluster_consistency(series: Series) -> DataFrame:
     clean = clean_part(series, rows)
     tags = settle(series.df.select("tag").distinct())
     corr = settle(pearson(clean).select("tag_a", "tag_b", "r"))
-    groups = settle(avg_link_groups(tags, corr, min(10, max(2, series.tags // 2))))
+    groups = settle(strong_groups(tags, corr))
     ways = both_ways(corr).withColumn("_a", F.round(F.abs("r"), 10))
     ways = ways.join(groups.select(F.col("tag").alias("tag_a"), F.col("group_id").alias("_ga")), "tag_a")
     ways = ways.join(groups.select(F.col("tag").alias("tag_b"), F.col("group_id").alias("_gb")), "tag_b")

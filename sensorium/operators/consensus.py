@@ -294,7 +294,7 @@ def vote(series: Series, values: DataFrame, cfg: ConsensusConfig, controls: Data
         {
             "plot_class": lookup("final_class", CONSENSUS_TO_LADDER, "Normal"),
             "direction": F.when(x >= F.col("median"), "High").when(x < F.col("median"), "Low").otherwise("Low"),
-            "limit_crossed": F.when(above | below, "Outer_Range").otherwise("Within_Limits"),
+            "limit_crossed": F.when(F.coalesce(~(above | below), F.lit(False)), "Within_Limits").otherwise("Outer_Range"),
         }
     ).drop("_ratio", "_dir", "_eng", "_early_ok", "_local_ok")
 

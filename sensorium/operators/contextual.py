@@ -134,8 +134,7 @@ def fuse_labels(df: DataFrame) -> DataFrame:
     df = df.withColumns(known)
     ranks = [ladder_rank(f"class_{i}") for i in (1, 2, 3)]
     top = F.greatest(*ranks)
-    # Engine names in the rationale.
-    labels = ("Auto_no_causal", "Outlier_detection", "Data_model")
+    labels = ("clean_limits", "inside_range", "regression")
     drivers = F.array_compact(
         F.array(*[F.when(r == top, F.concat(F.lit(f"{n}="), F.col(f"class_{i + 1}"))) for i, (r, n) in enumerate(zip(ranks, labels))])
     )

@@ -211,9 +211,10 @@ def latest_by(df: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(by)).alias("_r")).select(*keys, "_r.*")
 
 
-def page(df: DataFrame, order: Sequence[Column], size: int, number: int) -> DataFrame:
-    """One page of an ordered listing; size is held between 1 and 500."""
-    size = max(1, min(500, size))
+def page(df: DataFrame, order: Sequence[Column], size: int, number: int, most: int = 500) -> DataFrame:
+    """One page of an ordered listing of ``size`` rows, from 1 to ``most``."""
+    if not 1 <= size <= most:
+        raise ValueError(f"a page has 1 to {most} rows")
     return df.orderBy(*order).offset(max(0, number - 1) * size).limit(size)
 
 

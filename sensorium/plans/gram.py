@@ -52,14 +52,16 @@ def packed_rows(series: Series, ids: DataFrame, lags: int = 0) -> DataFrame:
 
 
 def _dense(batch: pa.RecordBatch, k: int, width: int, shift: int) -> np.ndarray:
-    """Matrix rows × tags of one packed column pair; missing cells are NaN."""
+    """Matrix rows × tags of one packed column pair; missing cells are NaN, several readings of a cell are averaged."""
     ids, values = batch.column(f"i{k}"), batch.column(f"x{k}")
-    out = np.full((batch.num_rows, width), np.nan)
     lengths = np.nan_to_num(np.asarray(ids.value_lengths().to_numpy(zero_copy_only=False), float)).astype(int)
     rows = np.repeat(np.arange(batch.num_rows), lengths)
     cols = ids.flatten().to_numpy(zero_copy_only=False) - shift
-    out[rows, cols] = values.flatten().to_numpy(zero_copy_only=False)
-    return out
+    place = rows * width + cols
+    count = np.bincount(place, minlength=batch.num_rows * width)
+    total = np.bincount(place, values.flatten().to_numpy(zero_copy_only=False), batch.num_rows * width)
+    with np.errstate(invalid="ignore"):
+        return (total / count).reshape(batch.num_rows, width)
 
 
 _MOMENTS = "a int, b int, lag int, n double, sa double, sb double, saa double, sbb double, sab double"
@@ -173,7 +175,8 @@ def _blocked(packed: DataFrame, lags: int, tags: int) -> DataFrame:
 
 def pair_histograms(series: Series, ids: DataFrame, bins: int = 14) -> DataFrame:
     """Counts per pair of tags (a < b) and pair of equal-width bins over each tag's range."""
-    df = attach(series.df.where(F.col("value").isNotNull()), ids, "tag", series.tags, "inner")
+    mean = series.df.where(F.col("value").isNotNull()).groupBy("ts", "tag").agg(F.avg("value").alias("value"))
+    df = attach(mean, ids, "tag", series.tags, "inner")
     share = (F.col("value") - F.col("_low")) / (F.col("_high") - F.col("_low"))
     code = F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0)).cast("double")
     cell = F.struct(F.col("_id").alias("i"), code.alias("x"))
