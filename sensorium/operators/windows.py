@@ -18,7 +18,14 @@ EXCURSIONS = ("Drift", "mild_outlier", "sudden_jump", "strong_outlier")
 
 def median_over(column: str, spec: WindowSpec, min_periods: int) -> Column:
     """Framed exact median; null while the frame has too few values."""
-    return F.when(F.count(column).over(spec) >= min_periods, F.percentile(column, F.lit(0.5)).over(spec))
+    held = F.array_sort(F.collect_list(column).over(spec))
+
+    def middle(v: Column) -> Column:
+        n = F.size(v)
+        return F.when(n >= max(min_periods, 1), (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2)
+
+    # bound to a name, so that the frame is gathered and sorted once
+    return F.transform(F.array(held), middle)[0]
 
 
 def diff(series: Series, column: str = "value", name: str = "delta") -> DataFrame:
