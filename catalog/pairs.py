@@ -78,9 +78,8 @@ def _(spark, folder):
 @query("d45_granger")
 def _(spark, folder):
     s = shapes.order_daily(spark, folder)
-    tags = s.df.select("tag").distinct()
-    both = tags.select(F.col("tag").alias("target")).join(tags.select(F.col("tag").alias("source")), F.col("target") < F.col("source"))
-    return pairs.granger(s, both, 4)
+    both = pairs.both_ways(pairs.pearson(s)).select(F.col("tag_a").alias("target"), F.col("tag_b").alias("source"))
+    return pairs.granger(s, both)
 
 
 @query("j5_tag_relationships")
@@ -110,7 +109,7 @@ def _(spark, folder):
 @query("d47_ols_fit")
 def _(spark, folder):
     s = shapes.sensor_hourly(spark, folder)
-    peers = regress.peers_by_corr(s, 2, None)
-    return regress.fit(regress.design_rows(s, peers, 2), peers, 2, 0.0, False, False, 24)
+    peers = regress.peers_by_corr(s, 5, None)
+    return regress.fit(regress.design_rows(s, peers, 5), peers, 5, 0.0, False, False, 24)
 
 

@@ -155,26 +155,6 @@ def f_tail(f: float, d1: float, d2: float) -> float:
     return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f)) if f > 0 else 1.0
 
 
-def grid_lags(series: Series, lags: int) -> DataFrame:
-    """Readings with the values of the tag 1..lags timestamps earlier on the common time grid."""
-    steps = Lane(series.df.select("ts").distinct(), [], ["ts"]).numbered("_g").done()
-    df = series.df.join(settle(steps), "ts")
-    lane = Lane(df, ["tag"], ["_g", "row_index"], series.tag_rows)
-
-    def look(w):
-        out = {}
-        for k in range(1, lags + 1):
-            # The k-th earlier timestamp lies at most k readings back.
-            found = F.lit(None).cast("double")
-            for j in range(1, k + 1):
-                hit = F.lag("_g", j).over(w) == F.col("_g") - k
-                found = F.when(hit, F.lag("value", j).over(w)).otherwise(found)
-            out[f"lag{k}"] = found
-        return out
-
-    return lane.rolling(lags, 0, look).done().drop("_g")
-
-
 def granger(series: Series, pairs: DataFrame, max_lag: int = 7, need: int | None = None, scale: float = 10.0) -> DataFrame:
     """Smallest p of the F tests that the lags 1..k of ``source`` help to predict ``target``.
 
@@ -182,18 +162,21 @@ def granger(series: Series, pairs: DataFrame, max_lag: int = 7, need: int | None
     of products, which each task adds up before the shuffle.
     """
     need = max_lag + 15 if need is None else need
-    lagged = settle(grid_lags(series, max_lag).select("ts", "tag", "value", *[f"lag{k}" for k in range(1, max_lag + 1)]))
-    names = [f"lag{k}" for k in range(1, max_lag + 1)]
-    own = lagged.select("ts", F.col("tag").alias("target"), F.col("value").alias("y"), *[F.col(n).alias(f"y_{n}") for n in names])
-    other = lagged.select("ts", F.col("tag").alias("source"), F.col("value").alias("x"), *[F.col(n).alias(f"x_{n}") for n in names])
-    rows = own.join(F.broadcast(pairs.select("target", "source")) if series.tags <= 400 else pairs.select("target", "source"), "target")
-    rows = rows.join(other, ["ts", "source"])
+    mean = series.df.where(F.col("value").isNotNull()).groupBy("ts", "tag").agg(F.avg("value").alias("value"))
+    own = mean.select("ts", F.col("tag").alias("target"), F.col("value").alias("y"))
+    other = mean.select("ts", F.col("tag").alias("source"), F.col("value").alias("x"))
+    rows = own.join(pairs.select("target", "source"), "target").join(other, ["ts", "source"])
+    # a lag is an earlier row of the pair, both readings present
+    earlier = lambda w: {f"{c}_lag{k}": F.lag(c, k).over(w) for c in ("y", "x") for k in range(1, max_lag + 1)}
+    rows = settle(Lane(rows, ["target", "source"], ["ts"], series.tag_rows).rolling(max_lag, 0, earlier).done())
     grams = None
     for k in range(1, max_lag + 1):
         cols = ["y", *[f"y_lag{j}" for j in range(1, k + 1)], *[f"x_lag{j}" for j in range(1, k + 1)]]
         part = gram(rows, ["target", "source"], cols).withColumn("k", F.lit(k))
         grams = part if grams is None else grams.unionByName(part)
-    sizes = rows.where(F.col("y").isNotNull() & F.col("x").isNotNull()).groupBy("target", "source").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = rows.groupBy("target", "source").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("y").alias("ny"), F.count_distinct("x").alias("nx")
+    )
 
     def test(frames):
         for pdf in frames:
@@ -218,7 +201,7 @@ def granger(series: Series, pairs: DataFrame, max_lag: int = 7, need: int | None
 
     tests = grams.mapInPandas(test, "target string, source string, k int, p double")
     best = tests.groupBy("target", "source").agg(F.min(F.struct("p", "k")).alias("_b"))
-    df = best.join(sizes, ["target", "source"]).where(F.col("rows") >= need)
+    df = best.join(sizes, ["target", "source"]).where((F.col("rows") >= need) & (F.col("ny") >= 3) & (F.col("nx") >= 3))
     strength = F.greatest(F.lit(0.0), F.least(F.lit(1.0), -F.log10(F.col("_b.p") + 1e-12) / scale))
     return df.select("target", "source", F.col("_b.p").alias("p"), F.col("_b.k").alias("granger_lag"), strength.alias("granger_strength"))
 

@@ -56,3 +56,31 @@ def test_pages_are_bounded_openly(spark):
     assert [r.id for r in report.page(df, [F.col("id")], 10, 3).collect()] == list(range(20, 30))
     with pytest.raises(ValueError, match="1 to 500"):
         report.page(df, [F.col("id")], 501, 1)
+
+
+def test_granger_lags_are_rows_of_the_pair(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal(120)
+    y = np.concatenate([[0.0, 0.0], 0.5 * x[:-2]]) + rng.standard_normal(120)
+    rows = []
+    for k in range(120):
+        at = START + dt.timedelta(hours=k)
+        rows += [(at, "x", float(x[k]))] * (k % 9 != 0) + [(at, "y", float(y[k]))] * (k % 7 != 0) + [(at, "two", float(k % 2))]
+    series = Series(spark.createDataFrame(rows, "ts timestamp_ntz, tag string, value double"))
+    asked = spark.createDataFrame([("y", "x"), ("y", "two")], "target string, source string")
+    got = pairs.granger(series, asked, 3).collect()
+    assert [(r.target, r.source) for r in got] == [("y", "x")]
+    kept = [k for k in range(120) if k % 9 and k % 7]
+    a, b = x[kept], y[kept]
+    best = None
+    for lag in (1, 2, 3):
+        n = len(a) - lag
+        own = np.column_stack([np.ones(n), *[b[lag - j : len(b) - j] for j in range(1, lag + 1)]])
+        full = np.column_stack([own, *[a[lag - j : len(a) - j] for j in range(1, lag + 1)]])
+        rss = [float(((b[lag:] - m @ np.linalg.lstsq(m, b[lag:], rcond=None)[0]) ** 2).sum()) for m in (own, full)]
+        left = n - (2 * lag + 1)
+        p = pairs.f_tail((rss[0] - rss[1]) / lag / (rss[1] / left), lag, left)
+        best = min(best or (p, lag), (p, lag))
+    assert got[0].p == pytest.approx(best[0], rel=1e-6) and got[0].granger_lag == best[1]
