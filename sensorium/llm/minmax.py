@@ -299,8 +299,5 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", **options: object) -
     text = options.get("text_column", "text")
     one = kept.filter("rows = 1").select(F.col("doc_id").alias(id_column))
     more = kept.filter("rows > 1").select(F.col("doc_id").alias(id_column))
-    return (
-        docs.join(one, id_column, "left_semi")
-        .union(docs.join(more, id_column, "left_semi").dropDuplicates([id_column, text]))
-        .union(docs.filter(F.col(id_column).isNull()))
-    )
+    by_id = lambda ids: docs.join(ids, id_column, "left_semi").select(*docs.columns)
+    return by_id(one).union(by_id(more).dropDuplicates([id_column, text])).union(docs.filter(F.col(id_column).isNull()))
