@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorium.llm.base import Scratch, lists, pick, slices, text_bytes
-from sensorium.llm.words import NOT_SPACE, byte_hashes, find_words, mix
+from sensorium.llm.words import NOT_SPACE, find_words, mix
 
 PERMUTATIONS = 80
 ROWS_PER_BAND = 5

@@ -8,7 +8,6 @@ needs for the wanted recall, and is compared with all their vectors.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np

@@ -14,7 +14,6 @@ from __future__ import annotations
 import html
 import os
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np

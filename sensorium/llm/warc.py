@@ -97,7 +97,7 @@ def _scanned(read: DataFrame, payloads: bool, whole: bool) -> DataFrame:
 
 
 def _parsed(raw: bytes, payloads: bool) -> tuple:
-    """header, head, length, digest, payload_bytes, rest, payload of a piece."""
+    """header, head, length, digest, payload_bytes, rest, payload of a piece; a false record may end inside a character."""
     head = raw.find(END.encode())
     found = re.search(rb"(?:^|\r\n)Content-Length: (\d{1,15})(?:\r\n|$)", raw[:head]) if head >= 0 else None
     if not found:
@@ -117,7 +117,7 @@ def _payload(header: str, block: bytes, payloads: bool) -> tuple:
     if "WARC-Type: response" not in header:
         return None, None, None
     body = block.partition(END.encode())[2]
-    return hashlib.sha1(body).hexdigest(), len(body), body.decode() if payloads else None
+    return hashlib.sha1(body).hexdigest(), len(body), body.decode(errors="replace") if payloads else None
 
 
 def candidates(spark: SparkSession, path: str, scratch: Scratch, payloads: bool = False, whole: bool = False) -> DataFrame:

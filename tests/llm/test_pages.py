@@ -34,6 +34,7 @@ def test_queries_match_their_sql(spark, con, name):
 def test_archives_round_trip(spark):
     rows = [(1, "http://a/", QUOTED * 3 + "x"), (2, "http://b/", "é" * 900 + QUOTED * 40), (3, None, None), (4, "c", "a" * 1500), (5, "d", "a" * 1500), (5, "d", "a" * 1500)]
     rows += [(6, "u\r\nX: y", "WARC/1.0\r\n" * 500), (7, "v", ""), (None, "w", "z" * 1200), (8, "short", "q"), (9, "short", "q")]
+    rows += [(400, "cut", "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\n日本")]
     rows += [(10 + i, "h", QUOTED * (i % 9) + "t" * i * 20) for i in range(60)]
     pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, digest string, offset int")
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/w"
