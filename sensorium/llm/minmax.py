@@ -107,6 +107,10 @@ def _membership(scratch: Scratch, ids: DataFrame, words: int = 1 << 20) -> np.nd
     return out
 
 
+def _members(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (bits[h % len(bits)] >> ((h >> 40) & 63).astype(np.uint64)) & np.uint64(1) != 0
+
+
 def _with_sets(df: DataFrame, size: int, member: np.ndarray) -> DataFrame:
     """``id, print, grams`` of the rows whose hash ``h`` may be a member; other texts stay where they are."""
     sent = df.sparkSession.sparkContext.broadcast(member)
@@ -114,7 +118,7 @@ def _with_sets(df: DataFrame, size: int, member: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             h = whole.column("h").to_numpy()
-            at = np.flatnonzero((sent.value[h % len(sent.value)] >> ((h >> 40) & 63).astype(np.uint64)) & np.uint64(1))
+            at = np.flatnonzero(_members(sent.value, h))
             for batch in slices(iter([whole.take(pa.array(at))]), "text"):
                 sets = shingle_sets(*text_bytes(batch.column("text")), size)
                 flat = np.concatenate(sets).view(np.int64)
@@ -294,10 +298,20 @@ def drop_copies(docs: DataFrame, id_column: str = "doc_id", **options: object) -
 
     Rows without an id cannot be named and all stay.
     """
+    scratch = Scratch(docs.sparkSession)
     classes = near_groups(docs, id_column=id_column, **options)
-    kept = Scratch(docs.sparkSession).keep(classes.filter("kept").groupBy("doc_id").agg(F.count("*").alias("rows")))
+    ids = scratch.keep(classes.groupBy("doc_id").agg(F.count_if("kept").alias("kept"), F.count("*").alias("rows")))
     text = options.get("text_column", "text")
-    one = kept.filter("rows = 1").select(F.col("doc_id").alias(id_column))
-    more = kept.filter("rows > 1").select(F.col("doc_id").alias(id_column))
-    by_id = lambda ids: docs.join(ids, id_column, "left_semi").select(*docs.columns)
-    return by_id(one).union(by_id(more).dropDuplicates([id_column, text])).union(docs.filter(F.col(id_column).isNull()))
+    hashed = F.xxhash64(F.col("doc_id").cast("string")).alias("h")
+    sent = docs.sparkSession.sparkContext.broadcast(_membership(scratch, ids.filter("kept <> 1 or rows <> 1").select(hashed)))
+
+    @F.arrow_udf("boolean")
+    def maybe(h: pa.Array) -> pa.Array:
+        return pa.array(_members(sent.value, h.to_numpy(zero_copy_only=False)))
+
+    # only texts whose id may be no single kept row are joined; the others stay in their tasks
+    open_ = maybe(F.xxhash64(F.col(id_column).cast("string"))) & F.col(id_column).isNotNull()
+    rest = docs.filter(open_)
+    by_id = lambda own: rest.join(own.select(F.col("doc_id").alias(id_column)), id_column, "left_semi").select(*docs.columns)
+    one, more = ids.filter("kept = 1"), ids.filter("kept > 1")
+    return docs.filter(~open_).union(by_id(one)).union(by_id(more).dropDuplicates([id_column, text]))
