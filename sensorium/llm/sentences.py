@@ -4,6 +4,7 @@ A text is a bag of sentences. A sentence has a probability from a linear model o
 its words and their beginnings; a text is toxic if any sentence is: the noisy-or
 ``1 - prod(1 - p)``. Only texts have labels; the gradient of the text's loss reaches
 its sentences through the noisy-or, so the same model then points at the sentences.
+Sentences without any feature that tells the labels apart have probability 0.
 """
 
 from __future__ import annotations
@@ -59,7 +60,9 @@ class Model:
     def sentence_logits(self, words: Words, sentence: np.ndarray) -> np.ndarray:
         which, bucket = features(words)
         count = int(sentence[-1]) + 1 if len(sentence) else 0
-        return np.bincount(sentence[which], self.weights[bucket], count) + self.bias
+        weight = self.weights[bucket]
+        known = np.bincount(sentence[which], weight != 0, count) > 0
+        return np.where(known, np.bincount(sentence[which], weight, count) + self.bias, -np.inf)
 
     def score(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Noisy-or of each row, and the number and logit of the sentences."""
@@ -104,11 +107,13 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, least_evi
     feature = np.concatenate([place[b] for b, _ in bags])
     sentence = np.concatenate([s + base[k] for k, (_, s) in enumerate(bags)]).astype(np.int32)
     feature, sentence = feature[feature >= 0], sentence[feature >= 0]
-    text = np.repeat(np.arange(len(bags)), per_text)
+    # a sentence without any known feature has probability 0, so length alone makes no text toxic
+    known, sentence = np.unique(sentence, return_inverse=True)
+    text = np.repeat(np.arange(len(bags)), per_text)[known]
     w, b = np.zeros(len(used)), bias
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for t in range(1, rounds + 1):
-        z = np.bincount(sentence, w[feature], base[-1]) + b
+        z = np.bincount(sentence, w[feature], len(known)) + b
         total = np.maximum(np.bincount(text, np.logaddexp(0, z), len(bags)), 1e-9)
         outer = np.where(labels > 0, -1 / np.expm1(np.minimum(total, 50)), 1.0)
         g = outer[text] / (1 + np.exp(-z)) / len(bags)
@@ -170,7 +175,7 @@ def labelled(docs: DataFrame, labels: DataFrame, id_column: str, text_column: st
     return bags, np.array(by.column("y").to_pylist(), float)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most_texts: int = 8_000, most_bytes: int = 64_000_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most_texts: int = 5_000, most_bytes: int = 24_000_000) -> Model:
     """A model of ``labels`` (pass only those that may be learnt from). Null texts are empty.
 
     Without labels, or with labels of one kind, every sentence has the same small or large
