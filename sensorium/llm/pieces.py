@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
 from sensorium.llm.base import lists, slices, text_bytes
@@ -25,7 +26,9 @@ from sensorium.llm.words import byte_hashes
 
 MARK = "▁"
 #: Bytes of text that are encoded together.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 1_500_000
+#: Threads of the library in each task, unless RAYON_NUM_THREADS is set.
+THREADS = 2
 #: Fixed values of the format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -128,6 +131,9 @@ def build(model: Model) -> Tokenizer:
     return out
 
 
+os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
+
+
 @lru_cache(4)
 def load(path: str) -> tuple[Model, Tokenizer]:
     with open(path, "rb") as file:
@@ -141,6 +147,15 @@ def _bare(path: str) -> Tokenizer:
     return build(replace(load(path)[0], dummy_prefix=False))
 
 
+@lru_cache(4)
+def _piece_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each piece's bytes begin, how many they are, and all bytes."""
+    model = load(path)[0]
+    own = [b"" if kind == CONTROL else bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in model.pieces]
+    size = np.array([len(x) for x in own], np.int64)
+    return np.cumsum(size) - size, size, np.frombuffer(b"".join(own), np.uint8)
+
+
 def _segment_ids(tokenizer: Tokenizer, segments: list[str], together: int = 1000) -> tuple[np.ndarray, np.ndarray]:
     """Number of ids of each segment, and all ids in a row.
 
@@ -174,7 +189,7 @@ class Seen:
     Two different segments of one worker share a hash with a chance below 1e-6.
     """
 
-    def __init__(self, most: int = 2_000_000) -> None:
+    def __init__(self, most: int = 1_000_000) -> None:
         self.most = most
         self.clear()
 
@@ -271,6 +286,33 @@ class Codec:
         out = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [e.ids if t else [] for e, t in zip(out, texts, strict=True)]
 
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """Texts of ids, null for null, by the bytes of each piece: marker to space, byte pieces to their byte, fused.
+
+        Byte pieces that make no valid UTF-8 leave the text to the library.
+        """
+        starts, sizes, raw = _piece_bytes(self.path())
+        dummy = self.tools()[0].dummy_prefix
+        texts = []
+        for at in range(0, len(ids), 256):
+            part = ids.slice(at, min(256, len(ids) - at))
+            flat = part.flatten().to_numpy(zero_copy_only=False)
+            count = np.nan_to_num(part.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            length = sizes[flat]
+            place = np.cumsum(length) - length
+            data = raw[np.arange(int(length.sum())) - np.repeat(place, length) + np.repeat(starts[flat], length)].tobytes()
+            ends = np.append(place, len(data))[np.append(0, np.cumsum(count))]
+            for row, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                if not part[row].is_valid:
+                    texts.append(None)
+                    continue
+                try:
+                    text = data[a:b].decode()
+                    texts.append(text[1:] if dummy and text.startswith(" ") else text)
+                except UnicodeDecodeError:
+                    texts += self.decode_batch([part[row].as_py()])
+        return pa.array(texts, pa.string())
+
     def decode_batch(self, ids: list[list[int]]) -> list[str]:
         """Texts of ids: control pieces are dropped, the first space is that of the dummy prefix."""
         model, tokenizer = self.tools()
@@ -282,17 +324,21 @@ class Codec:
 def with_pieces(docs: DataFrame, path: str, text_column: str = "text", result: str = "ids") -> DataFrame:
     """Add the ids of each whole text. Null texts have null ids, empty texts none. Nothing is shuffled; a column of that name is replaced."""
     codec = Codec(docs.sparkSession, path)
+    at = docs.columns.index(text_column)
+    names = [c for c in docs.columns if c != result] + [result]
+    keep = [k for k, c in enumerate(docs.columns) if c != result]
 
-    @F.arrow_udf("array<int>")
-    def encode(text: pa.Array) -> pa.Array:
-        parts = []
-        for part in slices(iter([pa.RecordBatch.from_arrays([text], ["text"])]), "text", BATCH_BYTES):
-            own = part.column("text")
-            array = codec.encode(own)
-            parts.append(pa.ListArray.from_arrays(array.offsets, array.values, mask=own.is_null()) if own.null_count else array)
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(iter([batch.rename_columns([f"_{k}" for k in range(batch.num_columns)])]), f"_{at}", BATCH_BYTES):
+                own = part.column(at)
+                ids = codec.encode(own)
+                if own.null_count:
+                    ids = pa.ListArray.from_arrays(ids.offsets, ids.values, mask=own.is_null())
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), ids], names)
 
-    return docs.withColumn(result, encode(F.col(text_column)))
+    fields_ = [docs.schema.fields[k] for k in keep]
+    return docs.mapInArrow(run, StructType([*fields_, StructField(result, ArrayType(IntegerType()))]))
 
 
 def decoded(docs: DataFrame, path: str, ids: str = "ids") -> Column:
@@ -301,8 +347,6 @@ def decoded(docs: DataFrame, path: str, ids: str = "ids") -> Column:
 
     @F.arrow_udf("string")
     def decode(own: pa.Array) -> pa.Array:
-        known = own.to_pylist()
-        texts = codec.decode_batch([x or [] for x in known])
-        return pa.array([t if x is not None else None for t, x in zip(texts, known, strict=True)], pa.string())
+        return codec.decode(own)
 
     return decode(F.col(ids))
