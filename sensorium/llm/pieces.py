@@ -27,6 +27,8 @@ from sensorium.llm.words import byte_hashes
 MARK = "▁"
 #: Bytes of text that are encoded together.
 BATCH_BYTES = 1_500_000
+#: Most rows of an Arrow batch, set in the session.
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1_000
 #: Threads of the library in each task, unless RAYON_NUM_THREADS is set.
 THREADS = 2
 #: Fixed values of the format: kinds of pieces and of models.
@@ -189,7 +191,7 @@ class Seen:
     Two different segments of one worker share a hash with a chance below 1e-6.
     """
 
-    def __init__(self, most: int = 1_000_000) -> None:
+    def __init__(self, most: int = 300_000) -> None:
         self.most = most
         self.clear()
 
@@ -238,6 +240,9 @@ class Codec:
 
     def __init__(self, spark, path: str) -> None:
         self.name = os.path.basename(path)
+        # ids and texts of a batch are in memory together
+        if int(spark.conf.get(BATCH_KEY)) > BATCH_ROWS:
+            spark.conf.set(BATCH_KEY, str(BATCH_ROWS))
         spark.sparkContext.addFile(path)
 
     def path(self) -> str:
