@@ -6,7 +6,10 @@ set against its number of tags; the ratios are smoothed over neighbouring paths
 order, the two are fused by a product, and paths below a share of the page's spread are
 dropped. A path's choice holds for the smallest container that joins it to the
 other chosen paths: short blocks of an article (headings, one-word paragraphs) come with it.
-Paths through elements or classes that never hold the article are out from the start.
+Paths through elements that never hold the article are out from the start, and those through
+elements with such class or id words too, unless the element holds an article or main element
+or, on pages without these, most of the text. Inside an article, words that also name content ("related",
+"notice") only halve a path's score.
 """
 
 from __future__ import annotations
@@ -31,9 +34,11 @@ ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 #: Words of class and id names that mark what is no article.
 OUTSIDE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adbox|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|sidebar|side|aside|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|social|share|sharing|comment|comments|disqus|replies|respond|related|recommended|widget|pagination|pager|tags|hidden)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(ad|ads|adbox|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|sidebar|side|aside|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|social|share|sharing|comment|comments|disqus|replies|respond|related|recommended|widget|pagination|pager|tags|hidden)(?=$|[\s_-])",
     re.I,
 )
+#: Of these, words that also name content of an article.
+EITHER = frozenset("alert comment comments header hidden menu notice notices overlay promo related replies respond share sharing side social tags widget".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
@@ -47,6 +52,10 @@ class Block:
     outside: bool
     parts: list[str] = field(default_factory=list)
     links: int = 0
+    #: Numbers of the open elements whose class or id has a word of OUTSIDE.
+    marks: tuple[int, ...] = ()
+    #: Inside an article, under a word of EITHER.
+    doubtful: bool = False
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
@@ -55,7 +64,9 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """Blocks of text in page order. Open elements are closed as browsers close paragraphs, items and cells."""
     out: list[Block] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, tuple[int, ...], bool]] = []
+    holds: set[int] = set()
+    marked = 0
     now: Block | None = None
     at, links = 0, 0
 
@@ -66,7 +77,8 @@ def blocks_of(page: str) -> list[Block]:
         if now is None:
             if not raw.strip():
                 return
-            now = Block(tuple(name for name, _ in stack), bool(stack) and stack[-1][1])
+            outside, marks, doubtful = stack[-1][1:] if stack else (False, (), False)
+            now = Block(tuple(e[0] for e in stack), outside, marks=marks, doubtful=doubtful)
             out.append(now)
         text = html.unescape(raw) if decode else raw
         now.parts.append(text)
@@ -124,18 +136,56 @@ def blocks_of(page: str) -> list[Block]:
         if name in VOID:
             continue
         if name == "body" or name == "html":
-            close(next((k for k, (n, _) in enumerate(stack) if n == "head"), len(stack)))
-        outside = (bool(stack) and stack[-1][1]) or _outside(name, found[3], stack)
-        stack.append((name, outside))
-    return [b for b in out if b.text()]
+            close(next((k for k, e in enumerate(stack) if e[0] == "head"), len(stack)))
+        outside, marks, doubtful = stack[-1][1:] if stack else (False, (), False)
+        inside = any(e[0] in CONTAINERS for e in stack)
+        outside = outside or _outside(name, found[3], inside)
+        if not outside and name in CONTAINERS:
+            holds.update(marks)
+        words = _words(name, found[3])
+        if inside and words and words <= EITHER:
+            doubtful = doubtful or words != {"header"}
+        elif words:
+            marks += (marked,)
+            marked += 1
+        stack.append((name, outside, marks, doubtful))
+    return _judged([b for b in out if b.text()], holds)
 
 
-def _outside(name: str, attributes: str, stack: list[tuple[str, bool]]) -> bool:
+def _judged(blocks: list[Block], holds: set[int]) -> list[Block]:
+    """Blocks under marked elements are outside, save where the element holds an article or main or, on pages without these, most of the text."""
+    if not any(b.marks for b in blocks):
+        return blocks
+    held: dict[int, int] = {}
+    total = 0
+    for b in blocks:
+        if not b.outside:
+            size = max(0, len(b.text()) - b.links)
+            total += size
+            for k in b.marks:
+                held[k] = held.get(k, 0) + size
+    free = holds
+    if not any(c in b.path for b in blocks if not b.outside for c in CONTAINERS):
+        free = holds | {k for k, size in held.items() if 2 * size > total}
+    for b in blocks:
+        b.outside = b.outside or not free.issuperset(b.marks)
+    return blocks
+
+
+def _words(name: str, attributes: str) -> set[str]:
+    """Words of OUTSIDE in the class and id of an element that may be outside for them."""
+    if name in ("html", "body", "header") or name in CONTAINERS or name in HIDDEN or not attributes or "=" not in attributes:
+        return set()
+    values = ["".join(v) for k, *v in ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id")]
+    return {m[1].lower() for v in values for m in OUTSIDE.finditer(v)}
+
+
+def _outside(name: str, attributes: str, inside: bool) -> bool:
     if name in HIDDEN:
         return True
     if name == "header":
         # a header is the page's own unless an article holds it
-        return not any(n in CONTAINERS for n, _ in stack)
+        return not inside
     if name in ("html", "body") or not attributes or "=" not in attributes and "hidden" not in attributes:
         return False
     for key, *values in ATTRIBUTE.findall(attributes):
@@ -145,10 +195,6 @@ def _outside(name: str, attributes: str, stack: list[tuple[str, bool]]) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if key in ("class", "id") and name not in CONTAINERS:
-            inside = any(n in CONTAINERS for n, _ in stack)
-            if any("header" not in m[0].lower() or not inside for m in OUTSIDE.finditer(value)):
-                return True
     return False
 
 
@@ -166,24 +212,28 @@ def select(blocks: list[Block], spread: float = 0.5) -> list[Block]:
     inside = [b for b in blocks if not b.outside]
     if not inside:
         return []
-    paths = list(dict.fromkeys(b.path for b in inside))
+    key = lambda b: (b.path, b.doubtful)
+    paths = list(dict.fromkeys(map(key, inside)))
     number = {p: k for k, p in enumerate(paths)}
     tags, length, points = np.zeros(len(paths)), np.zeros(len(paths)), np.zeros(len(paths))
     for b in inside:
-        k, text = number[b.path], b.text()
+        k, text = number[key(b)], b.text()
         tags[k] += 1
         length[k] += max(0, len(text) - b.links)
         points[k] += len(PUNCTUATION.findall(text))
     fused = _smooth(length / tags) * _smooth((points + 1) / tags)
+    # doubtful paths count by themselves and half, not by their neighbours
+    doubtful = np.array([d for _, d in paths])
+    fused = np.where(doubtful, 0.5 * length / tags * (points + 1) / tags, fused)
     # text share keeps a path of many short blocks ahead of one long notice
     fused *= 1 + length / max(1.0, length.sum())
     keep = fused >= spread * (fused.std() if len(paths) > 1 else 0.0)
     best = int(np.argmax(np.where(keep, fused * length, -1)))
-    article = _container(paths[best])
+    article = _container(paths[best][0])
     if article is None:
-        chosen = [p for p, k in zip(paths, keep, strict=True) if k]
+        chosen = [p for (p, _), k in zip(paths, keep, strict=True) if k]
         article = os.path.commonprefix(chosen)
-    return [b for b in inside if b.path[: len(article)] == article]
+    return [b for b in inside if b.path[: len(article)] == article and (keep[number[key(b)]] or not b.doubtful)]
 
 
 def _container(path: tuple[str, ...]) -> tuple[str, ...] | None:

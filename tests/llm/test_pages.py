@@ -79,6 +79,24 @@ def test_main_text():
     assert tagpaths.main_text("<article>" + "<p>word, word.</p>" * 20_000 + "</article>").count("\n\n") == 19_999
 
 
+PARAGRAPHS = "<p>First para, long enough, yes. It goes on, and on.</p><p>Second para, also long, with a stop.</p>"
+SAID = "First para, long enough, yes. It goes on, and on.\n\nSecond para, also long, with a stop."
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "no-sidebar", "with-sidebar", "page-header-fixed", "post-with-comments", "sidebar"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_main_text_in_marked_wrappers(name, inner):
+    page = f'<body><nav>x</nav><div class="{name}"><{inner}>{PARAGRAPHS}</{inner}><div class="ad">Buy now, please.</div></div><div id="sidebar">Links, links.</div></body>'
+    assert tagpaths.main_text(page) == SAID
+
+
+@pytest.mark.parametrize("name", ["related-work", "notice", "share", "tags"])
+def test_content_of_articles_with_doubtful_names(name):
+    more = "<p>Others did, before us, much the same. They found, too, what we find.</p>"
+    page = f'<body><article>{PARAGRAPHS}<div class="{name}">{more}</div><div class="{name}"><a href="x">one</a> <a href="y">two</a></div><div class="ad">Buy now, please.</div></article></body>'
+    assert tagpaths.main_text(page) == SAID + "\n\n" + more[3:-4]
+
+
 def test_main_text_of_frames(spark):
     rows = [(1, "<article><p>a</p></article>", "clash"), (1, "<article><p>a</p></article>", "clash"), (2, None, "clash")]
     got = tagpaths.with_text(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
