@@ -3,9 +3,10 @@
 A page is cut into blocks; each block has the path of its open elements from the root
 (inline elements left out). Text length and punctuation are added up for each path and
 set against its number of tags; the ratios are smoothed over neighbouring paths in page
-order, the two are fused by a product, and paths below a share of the page's spread are
-dropped. A path's choice holds for the smallest container that joins it to the
-other chosen paths: short blocks of an article (headings, one-word paragraphs) come with it.
+order, the two are fused by a product, and paths below a share of the page's spread fail.
+The outermost article or main element of the best path is the container; without one, the
+smallest that joins the chosen paths. In it, link lists and failing paths go, save headings,
+elements of running text and short blocks between others.
 Paths through elements that never hold the article are out from the start, and those through
 elements with such class or id words too, unless the element holds an article or main element
 or, on pages without these, most of the text. Inside an article, words that also name content ("related",
@@ -44,6 +45,11 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
 PUNCTUATION = re.compile(r"[.,;:!?、。，！？؟،।]")
 CONTAINERS = ("article", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of running text; others (div, section) are boxes.
+RUNNING = frozenset("p li pre td th dt dd blockquote figcaption caption h1 h2 h3 h4 h5 h6".split())
+#: Characters of a block that may stay between others by its place alone.
+SHORT = 200
 
 
 @dataclass
@@ -224,23 +230,71 @@ def select(blocks: list[Block], spread: float = 0.5) -> list[Block]:
     fused = _smooth(length / tags) * _smooth((points + 1) / tags)
     # doubtful paths count by themselves and half, not by their neighbours
     doubtful = np.array([d for _, d in paths])
-    fused = np.where(doubtful, 0.5 * length / tags * (points + 1) / tags, fused)
+    own = length / tags * (points + 1) / tags
+    fused = np.where(doubtful, 0.5 * own, fused)
     # text share keeps a path of many short blocks ahead of one long notice
     fused *= 1 + length / max(1.0, length.sum())
-    keep = fused >= spread * (fused.std() if len(paths) > 1 else 0.0)
+    least = spread * (fused.std() if len(paths) > 1 else 0.0)
+    keep = fused >= least
+    # without punctuation a path does not pass by its neighbours alone
+    alone = keep & ((points > 0) | (own >= least))
     best = int(np.argmax(np.where(keep, fused * length, -1)))
     article = _container(paths[best][0])
     if article is None:
         chosen = [p for (p, _), k in zip(paths, keep, strict=True) if k]
         article = os.path.commonprefix(chosen)
-    return [b for b in inside if b.path[: len(article)] == article and (keep[number[key(b)]] or not b.doubtful)]
+    held = [b for b in inside if b.path[: len(article)] == article]
+    return _trimmed(held, [bool(alone[number[key(b)]]) for b in held], article)
+
+
+def _trimmed(blocks: list[Block], passed: list[bool], article: tuple[str, ...]) -> list[Block]:
+    """The blocks of a container without those of failing or link-heavy paths.
+
+    Link lists (runs of a path, mostly links and without punctuation) go. What fails the threshold
+    stays if it is short and between blocks that stay, if it is a heading before one, or if it is
+    an element of running text (items, cells, code) of the article; doubtful blocks go.
+    """
+    start = 0
+    good, links = list(passed), [False] * len(blocks)
+    for k in range(1, len(blocks) + 1):
+        if k == len(blocks) or (blocks[k].path, blocks[k].doubtful) != (blocks[start].path, blocks[start].doubtful):
+            run = blocks[start:k]
+            if run[0].path[-1:] and run[0].path[-1] not in HEADINGS:
+                texts = [b.text() for b in run]
+                heavy = 2 * sum(b.links for b in run) > sum(map(len, texts)) and sum(len(PUNCTUATION.findall(t)) for t in texts) < len(run)
+                links[start:k] = [heavy] * len(run)
+            start = k
+    if all(links):
+        return blocks
+    good = [p and not h for p, h in zip(passed, links, strict=True)]
+    if not any(good):
+        return [b for b, h in zip(blocks, links, strict=True) if not h]
+    first, last = good.index(True), len(good) - 1 - good[::-1].index(True)
+    # on a page without article or main, joined only by its body, the ends are not the article's
+    whole = article[-1:] not in ((), ("html",), ("body",))
+    # of a main around an article, what stands before the article is its title and lead
+    inner = [k for k, b in enumerate(blocks) if any(n in CONTAINERS for n in b.path[len(article) :])]
+    low = inner[0] if inner and article[-1] == "main" else 0
+    high = inner[-1] if inner and article[-1] == "main" else len(blocks)
+    out = []
+    for k, b in enumerate(blocks):
+        stays = good[k]
+        if not stays and not links[k] and not b.doubtful:
+            name = b.path[-1] if b.path else ""
+            between = first < k < last and len(b.text()) <= SHORT
+            heading = name in HEADINGS and k < last
+            running = whole and name in RUNNING and k <= high and (k >= low or name in ("p", "blockquote"))
+            stays = between or heading or running
+        if stays:
+            out.append(b)
+    return out
 
 
 def _container(path: tuple[str, ...]) -> tuple[str, ...] | None:
     """The outermost article or main element of a path."""
-    for name in CONTAINERS:
-        if name in path:
-            return path[: path.index(name) + 1]
+    for k, name in enumerate(path):
+        if name in CONTAINERS:
+            return path[: k + 1]
     return None
 
 

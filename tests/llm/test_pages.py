@@ -97,6 +97,30 @@ def test_content_of_articles_with_doubtful_names(name):
     assert tagpaths.main_text(page) == SAID + "\n\n" + more[3:-4]
 
 
+LONG = "<p>This one says much, at length, and then it says more. It has its points, too.</p>" * 6
+LONG_SAID = "\n\n".join([LONG[3 : LONG.index("</p>")]] * 6)
+
+
+def test_paths_of_articles_meet_the_threshold():
+    links = '<div class="x1"><ul><li><a href="a">One thing</a></li><li><a href="b">Another thing</a></li></ul></div>'
+    note = '<div class="x2">Order today and save</div>'
+    assert tagpaths.main_text(f"<body><article><h1>Title</h1>{LONG}{links}</article></body>") == "Title\n\n" + LONG_SAID
+    assert tagpaths.main_text(f"<body><article><h1>Title</h1>{LONG}{links}{LONG}{note}</article></body>") == "Title\n\n" + LONG_SAID + "\n\n" + LONG_SAID
+    # items of the text and short blocks between others stay
+    kept = f"<body><article>{LONG}<ul><li>one</li></ul><div>See below</div>{LONG}<pre>x = 1</pre></article></body>"
+    assert tagpaths.main_text(kept) == f"{LONG_SAID}\n\none\n\nSee below\n\n{LONG_SAID}\n\nx = 1"
+
+
+def test_title_and_lead_beside_the_article():
+    page = f"<body><main><h1>Title</h1><p>A lead, to begin with.</p><article>{LONG}</article><div>More of this kind</div></main></body>"
+    assert tagpaths.main_text(page) == "Title\n\nA lead, to begin with.\n\n" + LONG_SAID
+
+
+def test_failing_paths_do_not_come_back_with_the_body():
+    page = f'<body><div class="top">Shop Cart Help</div><div><div>{LONG}</div></div><section>{LONG}</section><div class="low">All rights reserved</div></body>'
+    assert tagpaths.main_text(page) == LONG_SAID + "\n\n" + LONG_SAID
+
+
 def test_main_text_of_frames(spark):
     rows = [(1, "<article><p>a</p></article>", "clash"), (1, "<article><p>a</p></article>", "clash"), (2, None, "clash")]
     got = tagpaths.with_text(spark.createDataFrame(rows, "page_id long, html string, text string")).collect()
