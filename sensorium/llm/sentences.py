@@ -22,6 +22,8 @@ from sensorium.llm.words import ALPHANUMERIC, Words, find_words, mix
 
 BUCKETS = 1 << 20
 PREFIXES = (3, 4, 5, 6, 7, 8)
+#: A text of the sample is at most the sample's bytes by this.
+SHARE = 100
 #: Bytes that end a sentence.
 STOPS = np.zeros(256, bool)
 STOPS[[0x0A, 0x21, 0x2E, 0x3F]] = True
@@ -141,21 +143,40 @@ def bags_of(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield (both % BUCKETS).astype(np.int32), (both // BUCKETS).astype(np.int32)
 
 
+def _met(texts: DataFrame, marks: DataFrame, most_texts: int, most_size: int) -> list:
+    """``id, y, order, size`` of labelled texts in order, those of more than ``most_size`` bytes last.
+
+    Half as many ids again as are wanted are looked up, as some have no text or one too long;
+    where too few are left, four times as many, until there are enough or no more labels.
+    """
+    tried = most_texts * 3 // 2
+    while True:
+        # the sample is bounded, so it may be broadcast
+        first = marks.orderBy("order").limit(tried)
+        first = F.broadcast(first) if tried <= 16 * most_texts else first
+        met = texts.join(first, "id").groupBy("id").agg(F.first("y").alias("y"), F.first("order").alias("order"), F.max(F.octet_length("text")).alias("size"))
+        rows = met.orderBy(F.coalesce("size", F.lit(0)) > most_size, "order").limit(most_texts).collect()
+        if sum((r["size"] or 0) <= most_size for r in rows) >= most_texts or marks.limit(tried + 1).count() <= tried:
+            return rows
+        tried *= 4
+
+
 def labelled(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str, most_texts: int, most_bytes: int) -> tuple[list, np.ndarray]:
     """Bags and labels of a bounded sample of labelled texts: those of smallest hashed id.
 
     Rows with a null or other label take no part; an id with several labels has the larger.
     At most ``most_texts`` texts and ``most_bytes`` bytes of text come to the driver, as features.
+    Texts of more than a ``SHARE``-th of ``most_bytes`` come after all others, and a text that does
+    not fit is passed over for the next ones, so that a few long texts never use up the sample.
     """
     marks = pick(labels, id=id_column, y=label_column).filter("y in (0, 1) and id is not null")
     marks = marks.groupBy("id").agg(F.max("y").cast("int").alias("y")).withColumn("order", F.xxhash64(F.lit("sample"), F.col("id").cast("string")))
     texts = pick(docs, id=id_column, text=text_column)
-    # the sample is bounded, so it may be broadcast; half as many again, as some ids have no text
-    first = F.broadcast(marks.orderBy("order").limit(most_texts * 3 // 2))
-    met = texts.join(first, "id").groupBy("id").agg(F.first("y").alias("y"), F.first("order").alias("order"), F.max(F.octet_length("text")).alias("size"))
-    rows = sorted(met.collect(), key=lambda r: r["order"])[:most_texts]
-    room = np.cumsum([r["size"] or 0 for r in rows]) <= most_bytes
-    chosen = [(r["id"], r["y"]) for r, fits in zip(rows, room, strict=True) if fits]
+    chosen, left = [], most_bytes
+    for r in _met(texts, marks, most_texts, most_bytes // SHARE):
+        if len(chosen) < most_texts and (r["size"] or 0) <= left:
+            left -= r["size"] or 0
+            chosen.append((r["id"], r["y"]))
     if not chosen:
         return [], np.empty(0)
     few = F.broadcast(docs.sparkSession.createDataFrame(chosen, f"id {texts.schema['id'].dataType.simpleString()}, y int"))

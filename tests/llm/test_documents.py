@@ -191,6 +191,25 @@ def test_length_alone_is_not_toxic(spark):
     assert sentences.with_score(long, model).first().score < 0.5
 
 
+def test_long_labelled_texts_do_not_use_up_the_sample(spark):
+    rows = [(k, f"some plain words here. {'badword' if k % 3 == 0 else 'goodword'} and more.", int(k % 3 == 0)) for k in range(300)]
+    kind = "doc_id long, text string, toxic int"
+    for n_long, size in ((1, 30_000), (40, 3_000)):
+        docs = spark.createDataFrame(rows + [(1000 + k, "plain words. " * (size // 13), 0) for k in range(n_long)], kind)
+        # the long ones are first in the order of the sample
+        first = docs.filter("doc_id < 1000").select("doc_id").orderBy(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string"))).limit(3)
+        smallest = [r.doc_id for r in first.collect()]
+        docs = docs.withColumn("text", F.when(F.col("doc_id").isin(smallest), F.repeat(F.lit("plain words. "), size // 13)).otherwise(F.col("text")))
+        docs = docs.withColumn("toxic", F.when(F.col("doc_id").isin(smallest), 0).otherwise(F.col("toxic")))
+        model = sentences.train(docs, docs, most_bytes=25_000)
+        got = {r.doc_id: r.score for r in sentences.with_score(docs, model).collect()}
+        assert all((got[k] >= 0.5) == bool(y) for k, _, y in rows if k not in smallest)
+    # where all are long, those that fit are used
+    docs = spark.createDataFrame([(k, t * 20, y) for k, t, y in rows], kind)
+    bags, y = sentences.labelled(docs, docs, "doc_id", "text", "toxic", 5_000, 25_000)
+    assert 20 <= len(bags) <= 30 and set(y) == {0.0, 1.0}
+
+
 def test_toxicity_without_labels(spark, docs):
     model = sentences.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert sentences.with_score(docs, model).filter("score >= 0.5").count() == 0
