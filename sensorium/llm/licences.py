@@ -1,13 +1,15 @@
-"""Licence scans: TF-IDF cosine of headers to templates, then inheritance from directories."""
+"""Licence scans: TF-IDF cosine of headers and licence files to templates, then inheritance from directories."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorium.llm.base import Scratch, pick
+from sensorium.llm.notices import Notices
 from sensorium.session import small_rows
 
 #: One typical notice of each licence.
@@ -78,10 +80,35 @@ def _terms(all_: DataFrame) -> DataFrame:
     return tokens.groupBy("header", "licence", "token").agg(F.count("*").alias("tf"))
 
 
-def scan(files: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = 0.75, id_column: str = "path", path_column: str = "path", text_column: str = "text") -> DataFrame:
+def noticed(files: DataFrame, least: float) -> Column:
+    """``licence, score`` of the files' ``text`` by ``Notices``, or null; nothing is shuffled."""
+    sent = files.sparkSession.sparkContext.broadcast(Notices())
+
+    @F.arrow_udf("struct<licence: string, score: double>")
+    def find(text: pa.Array, whole: pa.Array) -> pa.Array:
+        found = [sent.value.find(t.as_py(), w.as_py(), least) if t.is_valid else None for t, w in zip(text, whole, strict=True)]
+        return pa.array([f and {"licence": f[0], "score": f[1]} for f in found], pa.struct([("licence", pa.string()), ("score", pa.float64())]))
+
+    whole = F.coalesce(lower(F.col("path")).rlike(LICENCE_FILE), F.lit(False))
+    # other texts stay out of Python
+    return find(F.when(whole | lower(F.col("text")).rlike(f"{HEADER}|public domain"), F.col("text")), whole)
+
+
+def scan(
+    files: DataFrame,
+    templates: Mapping[str, str] = TEMPLATES,
+    least: float = 0.75,
+    id_column: str = "path",
+    path_column: str = "path",
+    text_column: str = "text",
+    least_notice: float | None = 0.8,
+) -> DataFrame:
     """``id, path, licence, score, origin`` of every file.
 
-    A file has the licence of its best header (``origin`` "header"). Otherwise it inherits that of
+    A file has the licence of its best header (``origin`` "header"): of its sentences against
+    ``templates``, or of its SPDX line, runs of lines and, if it is a licence file, its whole text
+    against those of ``Notices``, from ``least_notice`` on (None: not compared); equal scores
+    go to the sentences. Otherwise it inherits that of
     the licence file in the nearest directory above it ("inherited"), of which the best score and
     then the smallest path counts. Otherwise the licence is null ("none"). Licence files
     are those called LICENSE, LICENCE, COPYING, NOTICE or UNLICENSE, with any ending. Null and
@@ -90,11 +117,16 @@ def scan(files: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: floa
     """
     spark = files.sparkSession
     scratch = Scratch(spark)
-    rows = pick(files, id=id_column, path=path_column, text=text_column).select("id", "path", headers_of(F.col("text")).alias("headers"))
+    rows = pick(files, id=id_column, path=path_column, text=text_column)
+    notice = noticed(rows, least_notice) if least_notice is not None else F.lit(None).cast("struct<licence: string, score: double>")
+    rows = rows.select("id", "path", headers_of(F.col("text")).alias("headers"), notice.alias("notice"))
     rows = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()))
     held = rows.filter(F.size("headers") > 0).select("row", F.explode("headers").alias("header"))
     nearest = scratch.keep(scores(held.select("header").distinct(), templates, least))
     own = held.join(nearest, "header").groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
+    own = own.select("row", "b.licence", (-F.col("b.s")).alias("score"), F.lit(0).alias("kind"))
+    own = own.union(rows.filter("notice is not null").select("row", "notice.licence", "notice.score", F.lit(1)))
+    own = own.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("s"), "kind", "licence")).alias("b"))
     own = scratch.keep(own.select("row", "b.licence", (-F.col("b.s")).alias("score")))
     folder = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit("")).alias("folder")
     given = rows.join(own, "row").filter(lower(F.col("path")).rlike(LICENCE_FILE)).select(folder, "path", "licence", "score")

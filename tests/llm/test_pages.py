@@ -1,6 +1,7 @@
 """Operators on pages, vectors, licences and pieces."""
 
 import hashlib
+import os
 import struct
 import tempfile
 
@@ -11,7 +12,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from check import TABLES, compare
-from sensorium.llm import licences, partitions, pieces, queries, tagpaths, urls, warc
+from sensorium.llm import licences, notices, partitions, pieces, queries, tagpaths, urls, warc
 from tests.conftest import FOLDER
 
 QUOTED = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
@@ -148,6 +149,32 @@ def test_licence_inheritance(spark):
     assert licences.scan(files.limit(0)).count() == 0
 
 
+MPL = "# This Source Code Form is subject to the terms of the Mozilla Public\n# License, v. 2.0. If a copy of the MPL was not distributed with this\n# file, You can obtain one at http://mozilla.org/MPL/2.0/.\nimport x"
+GO = "// Copyright 2009 The Go Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n\npackage x"
+GNU = "/*\n * Foo.\n * Copyright (C) 2020 Jane\n *\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU {}General Public License as published by\n * the Free Software Foundation, either version {} of the License, or\n * (at your option) any later version.\n */\nint x;"
+NO_NOTICE = ["licence of nothing at all", "Copyright 2020 Jane Doe. All rights reserved.", "You need a driving license to drive.", "This file has no license.", "Contact us to buy a license. License: commercial"]
+
+
+def test_real_notices(spark):
+    want = {"SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0", "x\nLicensed under the MIT License.": "MIT", "MIT License": "MIT", MPL: "MPL-2.0", GO: "BSD-3-Clause"}
+    want |= {GNU.format("", 3): "GPL-3.0", GNU.format("", 2): "GPL-2.0", GNU.format("Affero ", 3): "AGPL-3.0", GNU.format("Lesser ", 3): "LGPL-3.0", GNU.format("Lesser ", 2.1): "LGPL-2.1"}
+    rows = [(f"f{k}/{k}.c", t) for k, t in enumerate([*want, *NO_NOTICE])]
+    got = {r.path: (r.licence, r.origin) for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert [got[p] for p, _ in rows] == [(x, "header") for x in want.values()] + [(None, "none")] * len(NO_NOTICE)
+
+
+def test_whole_licence_files(spark):
+    # without its title a licence file is known by its bag of terms
+    bsd = "Copyright (c) 2011, Someone Else\nAll rights reserved.\n\n" + notices.BSD_USE.replace(": 1.", ":\n\n1.") + "\n" + notices.BSD_END
+    rows = [("bsd/LICENSE", bsd), ("bsd/src/x.py", "x")]
+    for name in sorted(os.listdir(notices.FOLDER)):
+        with open(os.path.join(notices.FOLDER, name)) as f:
+            rows += [(f"{name[:-4]}/COPYING", "Copyright 2020 Jane Doe\n\n" + "\n".join(f.read().split("\n")[2:])), (f"{name[:-4]}/a/b.c", "int x;")]
+    got = {r.path: (r.licence, r.origin) for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got.pop("bsd/LICENSE") == ("BSD-2-Clause", "header") and got.pop("bsd/src/x.py") == ("BSD-2-Clause", "inherited")
+    assert len(got) == 28 and all(x == p.split("/")[0] and o == ("header" if "COPYING" in p else "inherited") for p, (x, o) in got.items())
+
+
 def test_neighbours_reach_the_recall(spark):
     rng = np.random.default_rng(1)
     data = np.round(rng.standard_normal((1500, 16)), 2)
