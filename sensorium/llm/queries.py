@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorium.llm import fmindex, licences, minmax, partitions, pieces, rendezvous, sentences, tagpaths, urls, warc
+from sensorium.llm import fmindex, licences, minmax, partitions, pieces, rendezvous, scoring, sentences, tagpaths, urls, warc
 from sensorium.llm.base import table
 from sensorium.session import shared_folder, ship
 
@@ -189,3 +189,10 @@ def licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), name)
     found = licences.scan(docs.withColumn("path", path), id_column="doc_id")
     return found.select(F.col("id").alias("doc_id"), "path", "licence", F.round("score", 6).alias("score"), "origin")
+
+
+@query("op11_attention_scores")
+def language_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's log10 probability, learnt from the documents outside one fifth."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return scoring.score(table(spark, folder, "documents"), PIECE_MODEL, held)
