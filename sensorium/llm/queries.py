@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorium.llm import fmindex, licences, minmax, partitions, pieces, rendezvous, scoring, sentences, tagpaths, urls, warc
+from sensorium.llm import fmindex, licences, minmax, partitions, phrases, pieces, rendezvous, scoring, sentences, tagpaths, urls, warc, whitening
 from sensorium.llm.base import table
 from sensorium.session import shared_folder, ship
 
@@ -196,3 +196,43 @@ def language_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's log10 probability, learnt from the documents outside one fifth."""
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     return scoring.score(table(spark, folder, "documents"), PIECE_MODEL, held)
+
+
+@query("op12_qd_whitening")
+def whitening_directions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the eight leading components, scaled to unit variance."""
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+_PHRASE_SQL = """
+WITH pieces AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+), lists AS (SELECT lang, regexp_extract_all(piece, '[^ \\t]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i : array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM lists, (VALUES (1), (2), (3), (4)) s(size) WHERE len(w) >= size
+), f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+cand AS (SELECT lang, size, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE size > 1 AND f >= 30),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM cand),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, k, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1:], ' ')
+), best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT DISTINCT lang, unnest(list_transform(range(1, size - part + 2), lambda i : array_to_string(w[i:i + part - 1], ' '))) AS phrase, a AS longer
+  FROM cand, (VALUES (2), (3)) p(part) WHERE part < size
+), dropped AS (SELECT DISTINCT b.lang, b.phrase FROM best b JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase WHERE 100 * i.longer >= 80 * b.a),
+ranked AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, score
+  FROM best b ANTI JOIN dropped d ON d.lang = b.lang AND d.phrase = b.phrase
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_filters", _PHRASE_SQL)
+def phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2,000 phrases of every language."""
+    return phrases.mine(table(spark, folder, "documents"))
