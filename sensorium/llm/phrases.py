@@ -28,8 +28,10 @@ ENDS = np.zeros(256, bool)
 ENDS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 WORD = ~ENDS
 WORD[[0x20, 0x09]] = False
-#: Bytes of text whose words share one dictionary, and words that a segment of all filters is meant for.
-CHUNK_BYTES, SEGMENT = 8_000_000, 4_000_000
+#: Bytes of text that are cut into words at once, and whose words share one dictionary.
+RUN_BYTES, CHUNK_BYTES = 2_000_000, 8_000_000
+#: Words that a segment of all filters is meant for.
+SEGMENT = 4_000_000
 #: Words of a row of word codes.
 RUN = 500_000
 ROUNDS = 4
@@ -197,50 +199,70 @@ def coded(docs: DataFrame) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
-        for batch in slices(rows, "text", CHUNK_BYTES):
-            raw, offsets = text_bytes(batch.column("text"))
-            words = find_words(raw, offsets, WORD)
-            size = words.end - words.start
-            if not len(size):
-                continue
-            ends = np.concatenate([[0], np.cumsum(ENDS[raw])])
-            new = np.ones(len(size), bool)
-            new[1:] = (words.row[1:] != words.row[:-1]) | (ends[words.start[1:]] > ends[words.end[:-1]])
-            body = words.text[WORD[raw]]
-            spelled = pa.Array.from_buffers(
-                pa.large_binary(), len(size), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(body)]
-            ).dictionary_encode()
-            langs = batch.column("lang").dictionary_encode()
-            lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[words.row]
-            # a word of two languages has two codes
-            pair, code = np.unique(lang * len(spelled.dictionary) + spelled.indices.to_numpy(zero_copy_only=False), return_inverse=True)
-            m = len(pair)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(m, chunk)),
-                    pa.array(np.arange(m)),
-                    langs.dictionary.take(pa.array(pair // len(spelled.dictionary))),
-                    spelled.dictionary.take(pa.array(pair % len(spelled.dictionary))).cast(pa.binary()),
-                    pa.array(np.bincount(code, minlength=m)),
-                    pa.nulls(m, pa.binary()),
-                ],
-                names,
-            )
-            wide = 3 if m < 1 << 23 else 4
-            flat = np.ascontiguousarray((code * 2 + new).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :wide])
-            # pieces are cut where a run ends; each run begins with the words before it that may start a phrase
-            starts = np.arange(0, len(code), RUN)
-            bodies = [bytes([wide, min(3, s)]) + flat[max(0, s - 3) : s + RUN].tobytes() for s in starts]
-            k = len(bodies)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(k, chunk)), pa.nulls(k, pa.int64()), pa.nulls(k, batch.column("lang").type), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array(bodies, pa.binary())],
-                names,
-            )
-            chunk += 1
+        held: list[tuple] = []
+        bytes_held = 0
+        for batch in slices(rows, "text", RUN_BYTES):
+            part = word_codes(batch)
+            bytes_held += batch.column("text").nbytes
+            if part is not None:
+                held.append(part)
+            if held and bytes_held >= CHUNK_BYTES:
+                yield from close(chunk, held)
+                chunk, held, bytes_held = chunk + 1, [], 0
+        if held:
+            yield from close(chunk, held)
+
+    def close(chunk: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        # the runs' words of each language, numbered together
+        langs = pa.chunked_array([p[0] for p in held]).combine_chunks().dictionary_encode()
+        words = pa.chunked_array([p[1] for p in held]).combine_chunks().dictionary_encode()
+        wide = len(words.dictionary)
+        pair = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64) * wide + words.indices.to_numpy(zero_copy_only=False)
+        pair, place = np.unique(pair, return_inverse=True)
+        m = len(pair)
+        places = np.split(place, np.cumsum([len(p[0]) for p in held])[:-1])
+        codes = np.concatenate([at[p[2]].astype(np.uint32) * 2 + p[3] for p, at in zip(held, places, strict=True)])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(m, chunk)),
+                pa.array(np.arange(m)),
+                langs.dictionary.take(pa.array(pair // wide)),
+                words.dictionary.take(pa.array(pair % wide)).cast(pa.binary()),
+                pa.array(np.bincount(codes >> 1, minlength=m)),
+                pa.nulls(m, pa.binary()),
+            ],
+            names,
+        )
+        size = 3 if m < 1 << 23 else 4
+        flat = np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size])
+        # each run begins with the words before it that may start a phrase
+        bodies = [bytes([size, min(3, s)]) + flat[max(0, s - 3) : s + RUN].tobytes() for s in range(0, len(codes), RUN)]
+        k = len(bodies)
+        empty = [pa.nulls(k, t) for t in (pa.int64(), pa.string(), pa.binary(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, chunk)), *empty, pa.array(bodies, pa.binary())], names)
 
     return docs.mapInArrow(run, "chunk long, code long, lang string, word binary, n long, body binary")
 
 
+def word_codes(batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray] | None:
+    """Language and spelling of the distinct words, each word's place among them, and where pieces begin."""
+    raw, offsets = text_bytes(batch.column("text"))
+    words = find_words(raw, offsets, WORD)
+    size = words.end - words.start
+    if not len(size):
+        return None
+    ends = np.concatenate([[0], np.cumsum(ENDS[raw])])
+    new = np.ones(len(size), bool)
+    new[1:] = (words.row[1:] != words.row[:-1]) | (ends[words.start[1:]] > ends[words.end[:-1]])
+    places = pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
+    spelled = pa.Array.from_buffers(pa.large_binary(), len(size), [None, places, pa.py_buffer(words.text[WORD[raw]])]).dictionary_encode()
+    langs = batch.column("lang").cast(pa.string()).dictionary_encode()
+    lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[words.row]
+    wide = len(spelled.dictionary)
+    pair, code = np.unique(lang * wide + spelled.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+    return langs.dictionary.take(pa.array(pair // wide)), spelled.dictionary.take(pa.array(pair % wide)), code.astype(np.int32), new
+
+
 def phrase_filters(runs: DataFrame, numbers: DataFrame, most: int, bits: int, segment_bits: int, parts: int) -> DataFrame:
     """Filters ``length, segment, body`` of each chunk's phrases of frequent words."""
 
