@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from catalog.base import PATHS, SHIP, W, query, rs
 from sensorium.functions.scalar import drift_lead_score
-from sensorium.operators import causal, drift
+from sensorium.operators import causal, drift, models
+from sensorium.session import settle
 from sensorium.sources import shapes
 
 DRIFT = (
@@ -127,16 +128,19 @@ def _(spark, folder):
 
 @query("j12_root_causes_paths")
 def _(spark, folder):
-    df = causal.root_causes_paths(shapes.order_daily(spark, folder), shapes.cause_paths(spark, folder), TARGET)
+    s = shapes.order_daily(spark, folder).stored()
+    weights = models.model_attribution(s, models.candidates_of(models.pair_scores(s)).where(F.col("target") == TARGET))
+    df = causal.root_causes_paths(s, shapes.cause_paths(spark, folder), TARGET, weights)
     return causal.cause_reasons(df).select("cause", "direct_score", "indirect_score", "root_score", "cause_type", "reason")
 
 
 @query("j13_root_causes_graph")
 def _(spark, folder):
-    s = shapes.order_daily(spark, folder)
+    s = shapes.order_daily(spark, folder).stored()
     edges = causal.graph_edges(shapes.cause_paths(spark, folder))
-    targets = drift.drift_rank(drift.drift_metrics(s), None, 2).select("tag")
-    df = causal.root_causes_graph(s, edges, targets)
+    targets = settle(drift.drift_rank(drift.drift_metrics(s), None, 10).select("tag"))
+    listed = models.candidates_of(models.pair_scores(s)).join(targets.select(F.col("tag").alias("target")), "target", "left_semi")
+    df = causal.root_causes_graph(s, edges, targets, models.model_attribution(s, listed))
     return df.select("target", "cause", "relation", "final_score", "rank_order")
 
 

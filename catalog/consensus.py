@@ -1,11 +1,14 @@
 """Consensus, peer regression and fusion."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from catalog import sqlparts as sp
 from catalog.base import SENSOR, SHIP, W, center_scale, query, rs
 from catalog.detect import deviation_inside_sql
 from catalog.limits import baseline_sql
+from catalog.pairs import _corr
 from catalog.windows import _EARLY
 from sensorium.operators import consensus, contextual, detect
 from sensorium.sources import shapes
@@ -46,10 +49,10 @@ def signals_sql(src: str, multi: bool) -> str:
     return ", ".join(parts)
 
 
-def vote_sql(multi: bool, ratio: str = "1.0", engines: bool = False) -> str:
-    """CTE ``vt``: fired counts and class without the peer signal."""
-    k = dict(g=3.75, l=3.75, f=2.75, d=4.5, strict=3) if multi else dict(g=4.0, l=4.0, f=3.0, d=5.0, strict=4)
-    src = "sg" + (" LEFT JOIN ctl USING (tag)" if engines else "")
+def vote_sql(multi: bool, ratio: str = "1.0", engines: bool = False, peer: bool = False) -> str:
+    """CTE ``vt``: fired counts and class; with ``peer`` the signal of ``s5`` votes too, and weighs more."""
+    k = dict(g=3.75, l=3.75, f=2.75, d=4.5, p=3.75, strict=3) if multi else dict(g=4.0, l=4.0, f=3.0, d=5.0, p=4.0, strict=4)
+    src = "sg" + (" LEFT JOIN ctl USING (tag)" if engines else "") + (" LEFT JOIN s5 USING (tag, ts)" if peer else "")
 
     def fire(name: str, cond: str, z: str | None) -> str:
         if engines:
@@ -74,9 +77,12 @@ def vote_sql(multi: bool, ratio: str = "1.0", engines: bool = False) -> str:
             fire("S8_EARLY", f"abs(z_early) >= 2.95 * {ratio}", "z_early"),
             fire("S8_EARLY", f"abs(z_early) >= 3.55 * {ratio}", "z_early"),
         ]
+    five = fire("S5_PEER", f"abs(z_peer) >= {k['p']} * {ratio}", "z_peer") if peer else "0"
+    fires.append(five)
+    more = ", coalesce(s5.predicted, median) AS predicted, z_peer" if peer else ""
     return (
-        f"vt0 AS (SELECT sg.*, {' + '.join(fires)} AS fired FROM {src}), "
-        f"vt1 AS (SELECT *, CASE WHEN off_state THEN 'Normal' WHEN fired >= {k['strict']} THEN 'Actual Outlier' WHEN fired >= 2 THEN 'Warning' ELSE 'Normal' END AS c0, "
+        f"vt0 AS (SELECT sg.*{more}, {five} AS f5, {' + '.join(fires)} AS fired FROM {src}), "
+        f"vt1 AS (SELECT *, CASE WHEN off_state THEN 'Normal' WHEN fired >= {k['strict']} OR (f5 = 1 AND fired >= 3) THEN 'Actual Outlier' WHEN fired >= 2 THEN 'Warning' ELSE 'Normal' END AS c0, "
         f"sum(CASE WHEN fired >= 2 THEN 1 ELSE 0 END) {_f(2, 2)} AS near FROM vt0), "
         "vt AS (SELECT *, CASE WHEN c0 = 'Actual Outlier' AND near <= 1 AND fired < 4 THEN 'Warning' ELSE c0 END AS final_class FROM vt1)"
     )
@@ -100,16 +106,33 @@ def _(spark, folder):
     return df.groupBy("tag", "final_class").agg(F.count(F.lit(1)).alias("n"), F.count_if("off_state").alias("n_off"))
 
 
+# The default peers need a forest; with peers by correlation alone SQL states the peer signal too.
+for _multi, _name, _least, _k in ((False, "i17_consensus_corr_peers", 0.35, 4.0), (True, "i18_multi_signal_corr_peers", 0.30, 3.75)):
+
+    @query(
+        _name,
+        sp.joined(SHIP, signals_sql("ship", _multi), sp.ridge_signal("ship", _corr("ship"), _least, _k), vote_sql(_multi, peer=True))
+        + f" SELECT ts, tag, {rs('value')}, round(predicted, 4) + 0.0 AS predicted, round(z_peer, 4) + 0.0 AS z_peer, f5 = 1 AS fire_s5_peer, CAST(fired AS BIGINT) AS signals_fired, final_class FROM vt",
+    )
+    def _(spark, folder, multi=_multi):
+        cfg = replace(consensus.MULTI_SIGNAL if multi else consensus.CONSERVATIVE, dynamic_peers=False)
+        df = consensus.consensus(shapes.ship_daily(spark, folder).stored(), cfg)
+        df = df.withColumns({"predicted": F.round("predicted", 4), "z_peer": F.round("z_peer", 4)})
+        return df.select("ts", "tag", "value", "predicted", "z_peer", "fire_s5_peer", "signals_fired", "final_class")
+
+
 @query("i17_consensus")
 def _(spark, folder):
-    df = consensus.consensus(shapes.ship_daily(spark, folder), consensus.CONSERVATIVE)
+    """With the peers that a forest picks."""
+    df = consensus.consensus(shapes.ship_daily(spark, folder).stored(), consensus.CONSERVATIVE)
     return df.select("ts", "tag", "value", "predicted", "z_peer", "fire_s5_peer", "signals_fired", "signals_testable", "final_class")
 
 
 @query("i18_multi_signal")
 def _(spark, folder):
+    """With the peers that a forest picks."""
     cfg = consensus.MULTI_SIGNAL
-    df = consensus.reason_text(consensus.consensus(shapes.ship_daily(spark, folder), cfg), cfg)
+    df = consensus.reason_text(consensus.consensus(shapes.ship_daily(spark, folder).stored(), cfg), cfg)
     return df.select("ts", "tag", "value", "predicted", "z_peer", "signals_fired", "signals_testable", "final_class", "reason")
 
 
@@ -137,6 +160,29 @@ def _(spark, folder):
     return df.select("ts", "tag", "value", "signals_fired", "final_class")
 
 
+# Controls of four of the daily tags.
+SHIP_CONTROLS = [
+    ("qty_sum", 3.0, None, "both"),
+    ("line_count", 5.0, ["S1_GLOBAL", "S5_PEER", "S6_LONG"], "up"),
+    ("price_avg", None, ["S5_PEER", "S2_LOCAL"], "down"),
+    ("qty_A_F", None, None, "up"),
+]
+_SHIP_CTL = "ctl AS (SELECT * FROM (VALUES " + ", ".join(
+    f"('{t}', {('%s' % th) if th else 'NULL'}, {e if e else 'NULL::VARCHAR[]'}, '{d}')" for t, th, e, d in SHIP_CONTROLS
+) + ") c(tag, th, eng, dir))"
+
+
+@query(
+    "i19_apply_tag_controls_peers",
+    sp.joined(SHIP, _SHIP_CTL, signals_sql("ship", True), sp.ridge_signal("ship", _corr("ship"), 0.30, 3.75), vote_sql(True, "coalesce(th / 3.75, 1.0)", True, True))
+    + f" SELECT ts, tag, {rs('value')}, f5 = 1 AS fire_s5_peer, CAST(fired AS BIGINT) AS signals_fired, final_class FROM vt",
+)
+def _(spark, folder):
+    controls = spark.createDataFrame(SHIP_CONTROLS, consensus.CONTROL_FIELDS)
+    df = consensus.consensus(shapes.ship_daily(spark, folder).stored(), replace(consensus.MULTI_SIGNAL, dynamic_peers=False), controls)
+    return df.select("ts", "tag", "value", "fire_s5_peer", "signals_fired", "final_class")
+
+
 @query("i11_top5_regression")
 def _(spark, folder):
     df = contextual.top5_regression(shapes.ship_daily(spark, folder))

@@ -1,30 +1,64 @@
-"""Learned models: checked by invariants, not by SQL."""
+"""Learned models of every tag, with the sizes that the operators default to; importances and winners have no SQL."""
 
-from catalog.base import query
+from catalog.base import SHIP, query, rs
+from catalog.pairs import _corr
 from sensorium.operators import consensus, models
 from sensorium.sources import shapes
 
-PEERS = ["line_count", "qty_A_F", "qty_N_O", "qty_R_F", "price_avg"]
+# correlation, mutual information and lagged correlation of every directed pair
+_SCORES = (
+    f"p AS ({_corr('ship')}), r2 AS (SELECT tag_a AS target, tag_b AS peer, r FROM p UNION ALL SELECT tag_b, tag_a, r FROM p), "
+    "e AS (SELECT tag, min(value) AS lo, max(value) AS hi FROM ship GROUP BY tag), bn AS (SELECT ts, ship.tag, CASE WHEN hi > lo THEN least(floor((value - lo) / (hi - lo) * 14), 13) ELSE 0 END AS k FROM ship JOIN e USING (tag)), "
+    "c AS (SELECT a.tag AS target, b.tag AS peer, a.k AS ka, b.k AS kb, count(*) AS n FROM bn a JOIN bn b ON a.ts = b.ts AND a.tag <> b.tag GROUP BY ALL), "
+    "t AS (SELECT *, sum(n) OVER (PARTITION BY target, peer) AS nt, sum(n) OVER (PARTITION BY target, peer, ka) AS na, sum(n) OVER (PARTITION BY target, peer, kb) AS nb FROM c), "
+    "mi AS (SELECT target, peer, greatest(sum(n / nt * ln(n * nt / (na * nb))), 0.0) AS mi FROM t GROUP BY 1, 2), "
+    "g AS (SELECT ts, row_number() OVER (ORDER BY ts) AS pos FROM (SELECT DISTINCT ts FROM ship)), v AS (SELECT ship.tag, pos, value FROM ship JOIN g USING (ts)), "
+    "lc AS (SELECT a.tag AS target, b.tag AS peer, a.pos - b.pos AS lag, corr(a.value, b.value) AS r, count(*) AS n FROM v a JOIN v b ON b.pos BETWEEN a.pos - 5 AND a.pos - 1 AND a.tag <> b.tag GROUP BY 1, 2, 3), "
+    "lb AS (SELECT target, peer, r AS lag_r FROM lc WHERE n >= 10 QUALIFY row_number() OVER (PARTITION BY target, peer ORDER BY round(abs(r), 12) DESC, lag) = 1), "
+    "sc AS (SELECT target, peer, r2.r, mi, lag_r FROM r2 JOIN mi USING (target, peer) JOIN lb USING (target, peer)), "
+    "rk AS (SELECT *, " + ", ".join(f"row_number() OVER (PARTITION BY target ORDER BY round(abs({c}), 10) DESC, peer) AS p_{c}" for c in ("r", "mi", "lag_r")) + " FROM sc)"
+)
 
 
-@query("g2_candidate_union")
+@query("k1_pair_scores", f"WITH {SHIP}, {_SCORES} SELECT target, peer, {rs('r', 'mi', 'lag_r')} FROM sc")
 def _(spark, folder):
-    return models.candidate_peers(shapes.ship_daily(spark, folder), 3, 2)
+    return models.pair_scores(shapes.ship_daily(spark, folder).stored())
+
+
+@query("g2_candidate_union", f"WITH {SHIP}, {_SCORES} SELECT target, peer FROM rk WHERE p_r <= 10 OR p_mi <= 10 OR p_lag_r <= 10")
+def _(spark, folder):
+    return models.candidate_peers(shapes.ship_daily(spark, folder).stored())
+
+
+@query("g2_candidate_union_narrow", f"WITH {SHIP}, {_SCORES} SELECT target, peer FROM rk WHERE p_r <= 3 OR p_mi <= 3 OR p_lag_r <= 3")
+def _(spark, folder):
+    return models.candidate_peers(shapes.ship_daily(spark, folder).stored(), 3)
+
+
+@query("k1_dynamic_peers")
+def _(spark, folder):
+    return models.dynamic_peers(shapes.ship_daily(spark, folder).stored())
 
 
 @query("k2_tree_importance")
 def _(spark, folder):
-    return models.tree_importance(shapes.ship_daily(spark, folder), "qty_sum", PEERS, 30, 6)
+    s = shapes.ship_daily(spark, folder).stored()
+    return models.tree_importance(s, models.candidates_of(models.pair_scores(s)))
 
 
 @query("k3_train_winner")
 def _(spark, folder):
-    return models.train_winner(shapes.ship_daily(spark, folder), "qty_sum", PEERS)[1]
+    """The winning model of every tag and the residuals it leaves."""
+    s = shapes.ship_daily(spark, folder).stored()
+    peers = models.dynamic_peers(s, 10, 0.15)
+    winners = models.train_winners(s, peers)
+    return models.peer_signal(s, peers, winners).join(winners.select("target", "model_name", "model_type", "cv_rmse", "cv_r2").withColumnRenamed("target", "tag"), "tag")
 
 
 @query("k4_model_attribution")
 def _(spark, folder):
-    return models.model_attribution(shapes.ship_daily(spark, folder), "qty_sum", PEERS)
+    s = shapes.ship_daily(spark, folder).stored()
+    return models.model_attribution(s, models.candidates_of(models.pair_scores(s)))
 
 
 @query("k5_feature_filter")
@@ -34,8 +68,6 @@ def _(spark, folder):
 
 @query("i20_detect_multimodel")
 def _(spark, folder):
-    """The eight-signal vote with the winning model of one tag as its peer signal."""
-    s = shapes.ship_daily(spark, folder)
-    _, peer = models.train_winner(s, "qty_sum", PEERS)
-    df = consensus.consensus(s, consensus.MULTI_SIGNAL, None, peer)
-    return df.select("ts", "tag", "value", "predicted", "z_peer", "signals_fired", "final_class")
+    """The eight-signal vote with every tag's winning model as its peer signal."""
+    df, _ = consensus.multimodel(shapes.ship_daily(spark, folder).stored())
+    return df.select("ts", "tag", "value", "predicted", "z_peer", "fire_s5_peer", "signals_fired", "final_class")

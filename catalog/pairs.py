@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from catalog.base import ORDERS, SHIP, query, r, rs
+from catalog import sqlparts as sp
+from catalog.base import HOURLY, ORDERS, SHIP, query, r, rs
 from sensorium.operators import pairs, regress
 from sensorium.sources import shapes
 
@@ -99,17 +100,32 @@ def _(spark, folder):
     return regress.peers_by_corr(shapes.ship_daily(spark, folder))
 
 
-@query("d46_ridge_fit")
+_R2 = "1 - sum((y - (w0 + w1 * x1 + w2 * x2 + w3 * x3 + w4 * x4 + w5 * x5)) ** 2) / sum((y - my) ** 2)"
+
+
+def _fit_sql(src: str, least: float, alpha: float, intercept: float, rows: int, centred: bool) -> str:
+    """Weights (those of missing peers 0), rows and R² of every target."""
+    filled = ", ".join(f"CASE WHEN k < {j} THEN 0.0 ELSE x{j} END AS x{j}" for j in range(1, 6))
+    return (
+        f"{sp.peers_by_corr(_corr(src), least)}, {sp.design(src, 'pe', 5)}, dw AS (SELECT * FROM dz WHERE {sp.whole(5)}), {sp.solved('dw', 5, alpha, intercept, 'wt', centred)}, "
+        f"q AS (SELECT target, y, avg(y) OVER (PARTITION BY target) AS my, {filled} FROM dw) "
+        f"SELECT target, list_value({', '.join(f'round(w{j}, 4) + 0.0' for j in range(6))}) AS w, any_value(train_rows) AS train_rows, round({_R2}, 6) + 0.0 AS r2 FROM q JOIN wt USING (target) GROUP BY target, w0, w1, w2, w3, w4, w5 HAVING any_value(train_rows) >= {rows}"
+    )
+
+
+def _rounded(df):
+    return df.withColumn("w", F.transform("w", lambda v: F.round(v, 4) + F.lit(0.0)))
+
+
+@query("d46_ridge_fit", f"WITH {SHIP}, {_fit_sql('ship', 0.35, 1.0, 1.0, 10, False)}")
 def _(spark, folder):
     s = shapes.ship_daily(spark, folder)
     peers = regress.peers_by_corr(s)
-    return regress.fit(regress.design_rows(s, peers, 5), peers, 5, 1.0, True, False)
+    return _rounded(regress.fit(regress.design_rows(s, peers, 5), peers, 5, 1.0, True, False))
 
 
-@query("d47_ols_fit")
+@query("d47_ols_fit", f"WITH {HOURLY}, {_fit_sql('hourly', 0.0, 0.0, 0.0, 24, True)}")
 def _(spark, folder):
     s = shapes.sensor_hourly(spark, folder)
     peers = regress.peers_by_corr(s, 5, None)
-    return regress.fit(regress.design_rows(s, peers, 5), peers, 5, 0.0, False, False, 24)
-
-
+    return _rounded(regress.fit(regress.design_rows(s, peers, 5), peers, 5, 0.0, False, False, 24))

@@ -290,3 +290,91 @@ def nearest(src: str) -> str:
         f"WHEN value > upper_limit THEN (value - upper_limit) / band_scale ELSE 0.0 END AS dist FROM {src} s JOIN bd b USING (tag)), "
         "nb AS (SELECT * FROM n0 QUALIFY row_number() OVER (PARTITION BY ts, row_index, tag ORDER BY abs(dist), band_id) = 1)"
     )
+
+
+def design(src: str, peers: str, k: int) -> str:
+    """CTEs ``dk``, ``dz``: a target's readings y beside those of its peers x1.., and its number of peers."""
+    xs = ", ".join(f"max(CASE WHEN rank = {j} THEN x.value END) AS x{j}" for j in range(1, k + 1))
+    return (
+        f"dk AS (SELECT target, max(rank) AS k FROM {peers} GROUP BY target), "
+        f"dz AS (SELECT y.tag AS target, y.ts, any_value(y.value) AS y, any_value(dk.k) AS k, {xs} FROM {src} y JOIN dk ON dk.target = y.tag JOIN {peers} pr ON pr.target = y.tag "
+        f"LEFT JOIN {src} x ON x.tag = pr.peer AND x.ts = y.ts GROUP BY y.tag, y.ts)"
+    )
+
+
+def whole(k: int) -> str:
+    """A row of ``dz`` with every reading it needs."""
+    return "y IS NOT NULL AND " + " AND ".join(f"(k < {j} OR x{j} IS NOT NULL)" for j in range(1, k + 1))
+
+
+def solved(src: str, k: int, alpha: float, intercept: float, out: str = "wt", centred: bool = False) -> str:
+    """CTE ``out``: target, train_rows, w0.. of the least squares of y on x1.., by elimination on the normal equations.
+
+    Each step of the elimination is one CTE. Peers that a target lacks have weight 0. ``alpha`` is added to the diagonal, ``intercept``
+    to that of the constant. With ``centred`` (no penalty on the constant) sums are about the means.
+    """
+    xs = [f"coalesce(x{j}, 0.0)" for j in range(1, k + 1)]
+    if centred:
+        means = ", ".join(f"avg({x}) OVER (PARTITION BY target) AS m{j}" for j, x in enumerate(xs, 1))
+        parts = [f"{out}_c AS (SELECT target, k, y - avg(y) OVER (PARTITION BY target) AS yc, avg(y) OVER (PARTITION BY target) AS my, {means}, " + ", ".join(f"{x} AS x{j}" for j, x in enumerate(xs, 1)) + f" FROM {src})"]
+        z, rhs, first, src = {j: f"(x{j} - m{j})" for j in range(1, k + 1)}, "yc", 1, f"{out}_c"
+        keep = ", any_value(my) AS my, " + ", ".join(f"any_value(m{j}) AS m{j}" for j in range(1, k + 1))
+    else:
+        parts, z, rhs, first, keep = [], {0: "1.0"} | {j: x for j, x in enumerate(xs, 1)}, "y", 0, ""
+    ids = range(first, k + 1)
+    held = "".join(f", m{j}" for j in range(1, k + 1)) + ", my" if centred else ""
+
+    def cell(i: int, j: int) -> str:
+        if i != j:
+            return f"sum({z[i]} * {z[j]})"
+        own = intercept if i == 0 else alpha
+        # a missing peer's row is the unit row
+        return f"sum({z[i]} * {z[j]}) + {own}" + (f" + CASE WHEN max(k) < {i} THEN 1.0 ELSE 0.0 END" if i else "")
+
+    cells = ", ".join(f"{cell(i, j)} AS a{i}_{j}" for i in ids for j in ids)
+    parts.append(f"{out}_{first} AS (SELECT target, count(*) AS n, {cells}, " + ", ".join(f"sum({z[i]} * {rhs}) AS b{i}" for i in ids) + f"{keep} FROM {src} GROUP BY target)")
+    for p in ids:
+        out_cells = []
+        for i in ids:
+            factor = f"a{i}_{p} / a{p}_{p}"
+            for j in ids:
+                out_cells.append(f"a{i}_{j}" if i == p else f"a{i}_{j} - {factor} * a{p}_{j}")
+                out_cells[-1] += f" AS a{i}_{j}"
+            out_cells.append((f"b{i}" if i == p else f"b{i} - {factor} * b{p}") + f" AS b{i}")
+        parts.append(f"{out}_{p + 1} AS (SELECT target, n{held}, {', '.join(out_cells)} FROM {out}_{p})")
+    weights = ", ".join(f"b{i} / a{i}_{i} AS w{i}" for i in ids)
+    if not centred:
+        parts.append(f"{out} AS (SELECT target, n AS train_rows, {weights} FROM {out}_{k + 1})")
+    else:
+        parts.append(f"{out}_w AS (SELECT target, n, my{''.join(f', m{j}' for j in range(1, k + 1))}, {weights} FROM {out}_{k + 1})")
+        back = " - ".join(["my", *[f"w{j} * m{j}" for j in range(1, k + 1)]])
+        parts.append(f"{out} AS (SELECT target, n AS train_rows, {back} AS w0, " + ", ".join(f"w{j}" for j in range(1, k + 1)) + f" FROM {out}_w)")
+    return ", ".join(parts)
+
+
+def predicted(k: int) -> str:
+    """The fit of a row of ``dz`` joined with weights; null where a reading it needs is missing."""
+    return " + ".join(["w0", *[f"CASE WHEN k < {j} THEN 0.0 ELSE w{j} * x{j} END" for j in range(1, k + 1)]])
+
+
+def peers_by_corr(corr: str, least: float, most: int = 5) -> str:
+    """CTE ``pe``: target, peer, rank, r of the best pairs."""
+    return (
+        f"pc0 AS ({corr}), pc1 AS (SELECT tag_a AS target, tag_b AS peer, r FROM pc0 UNION ALL SELECT tag_b, tag_a, r FROM pc0), "
+        "pc2 AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(abs(r), 10) DESC, peer) AS rank, max(round(abs(r), 10)) OVER (PARTITION BY target) AS best FROM pc1), "
+        f"pe AS (SELECT target, peer, rank, r FROM pc2 WHERE rank <= {most} AND (round(abs(r), 10) >= {least} OR best < {least}))"
+    )
+
+
+def ridge_signal(src: str, corr: str, least: float, k_global: float, z: str = "sg", k: int = 5) -> str:
+    """CTE ``s5``: tag, ts, predicted, z_peer of the ridge on correlated peers, trained on calm rows (``z`` holds z_global)."""
+    return (
+        f"{peers_by_corr(corr, least, k)}, {design(src, 'pe', k)}, "
+        f"d1 AS (SELECT dz.*, {whole(k)} AS whole, coalesce(abs({z}.z_global), 0.0) < {k_global} AS calm FROM dz LEFT JOIN {z} ON {z}.tag = dz.target AND {z}.ts = dz.ts), "
+        "d2 AS (SELECT target, count_if(whole) AS nw, count_if(whole AND calm) AS nc, max(k) AS kk FROM d1 GROUP BY target), "
+        "d3 AS (SELECT d1.*, whole AND nw >= 30 AND (calm OR nc < greatest(30, 5 * kk)) AS train FROM d1 JOIN d2 USING (target)), "
+        f"d4 AS (SELECT * FROM d3 WHERE train), {solved('d4', k, 1.0, 1.0)}, "
+        f"d5 AS (SELECT d3.target AS tag, ts, y, train, {predicted(k)} AS predicted FROM d3 JOIN wt USING (target)), "
+        "d6 AS (SELECT tag, greatest(1.4826 * mad(y - predicted), 1e-9) AS rs FROM d5 WHERE train GROUP BY tag), "
+        "s5 AS (SELECT tag, ts, predicted, CASE WHEN rs > 1e-9 THEN (y - predicted) / rs END AS z_peer FROM d5 JOIN d6 USING (tag))"
+    )

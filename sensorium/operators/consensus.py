@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorium.functions.classes import CONSENSUS_TO_LADDER, lookup
 from sensorium.functions.scalar import one, yes
-from sensorium.operators import regress
+from sensorium.operators import models, regress
 from sensorium.operators.limits import consensus_baseline
 from sensorium.operators.stats import MAD_K, center_mad, scale_of
 from sensorium.operators.windows import early_segment_z, isolation_downgrade, median_over
@@ -51,6 +51,7 @@ class ConsensusConfig:
     k_early_strong: float = 999.0
     min_mad: float = 1e-9
     use_peers: bool = True
+    dynamic_peers: bool = True
 
 
 CONSERVATIVE = ConsensusConfig()
@@ -133,10 +134,17 @@ def windowed_values(series: Series, cfg: ConsensusConfig) -> DataFrame:
     return lane.done().drop("_ld", "_td", "_rows")
 
 
-def peer_residual_z(series: Series, z_global: DataFrame, cfg: ConsensusConfig) -> DataFrame:
+def consensus_peers(series: Series, cfg: ConsensusConfig) -> DataFrame:
+    """``target, peer, rank`` by several scores and a forest, or by correlation alone; gaps count as medians."""
+    if cfg.dynamic_peers:
+        return settle(models.dynamic_peers(series, cfg.max_peers, cfg.min_abs_corr))
+    return settle(regress.correlation_peers(models.filled_pearson(series), cfg.max_peers, cfg.min_abs_corr))
+
+
+def peer_residual_z(series: Series, z_global: DataFrame, cfg: ConsensusConfig, peers: DataFrame | None = None) -> DataFrame:
     """``tag, ts, predicted, z_peer`` from a ridge on each tag's peers, trained on its calm rows."""
     k = cfg.max_peers
-    peers = regress.peers_by_corr(series, k, cfg.min_abs_corr)
+    peers = consensus_peers(series, cfg) if peers is None else peers
     design = regress.design_rows(series, peers, k)
     design = settle(
         design.join(z_global.select(F.col("tag").alias("target"), "ts", "z_global"), ["target", "ts"], "left").join(
@@ -156,8 +164,8 @@ def peer_residual_z(series: Series, z_global: DataFrame, cfg: ConsensusConfig) -
     design = design.join(F.broadcast(sizes) if series.tags <= 100_000 else sizes, "target")
     few = F.col("_nc") < F.greatest(F.lit(30), F.col("_kk") * 5)
     design = design.withColumn("_train", F.when(few, F.col("_whole")).otherwise(F.col("_calm")) & (F.col("_nw") >= 30))
-    models = settle(regress.fit(design.where("_train"), peers, k, cfg.ridge_alpha, True, False))
-    scored = regress.predict(design, models, k, series.tags)
+    fitted = settle(regress.fit(design.where("_train"), peers, k, cfg.ridge_alpha, True, False))
+    scored = regress.predict(design, fitted, k, series.tags)
     scored = scored.withColumn("_res", F.col("y") - F.col("predicted")).withColumn(
         "_tr", F.when(F.col("_train"), F.col("_res"))
     )
@@ -168,7 +176,10 @@ def peer_residual_z(series: Series, z_global: DataFrame, cfg: ConsensusConfig) -
 
 
 def signal_values(series: Series, cfg: ConsensusConfig, peer: DataFrame | None = None) -> DataFrame:
-    """All z values and fences per reading. ``peer`` may bring another model's ``predicted, z_peer``."""
+    """All z values and fences per reading.
+
+    ``peer`` may bring another model's ``predicted, z_peer``; tags that it does not name get the ridge on their peers.
+    """
     base = settle(consensus_baseline(series, cfg.trim, None, min_mad=cfg.min_mad))
     df = series.attach(base, windowed_values(series, cfg))
     x = F.col("value")
@@ -198,8 +209,12 @@ def signal_values(series: Series, cfg: ConsensusConfig, peer: DataFrame | None =
         df = series.attach(stats, df).withColumn("z_early", (x - F.col("_em")) / F.col("_es"))
     else:
         df = df.withColumn("z_early", none)
-    if peer is None and cfg.use_peers:
-        peer = peer_residual_z(series, df, cfg)
+    if cfg.use_peers:
+        named = None if peer is None else settle(peer.select("tag").distinct())
+        if named is None or named.count() < series.tags:
+            df = settle(df)
+            plain = peer_residual_z(series, df, cfg)
+            peer = plain if peer is None else peer.unionByName(plain.join(named, "tag", "left_anti"))
     if peer is None:
         df = df.withColumns({"predicted": none, "z_peer": none})
     else:
@@ -309,6 +324,27 @@ def consensus(
     return vote(series, settle(signal_values(series, cfg, peer)), cfg, controls)
 
 
+@dataclass(frozen=True)
+class ModelConfig:
+    """How models for the peer signal are chosen."""
+
+    max_peers: int = 10
+    min_abs_corr: float = 0.15
+    folds: int = 3
+    least_rows: int = 60
+
+
+def multimodel(series: Series, cfg: ConsensusConfig = MULTI_SIGNAL, how: ModelConfig = ModelConfig(), controls: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The vote with every tag's winning model as its peer signal, and the winners.
+
+    Tags without a model (too few rows, no peers) keep the ridge on their peers.
+    """
+    peers = settle(models.dynamic_peers(series, how.max_peers, how.min_abs_corr))
+    winners = models.train_winners(series, peers, how.folds, how.least_rows)
+    signal = settle(models.peer_signal(series, peers, winners))
+    return consensus(series, cfg, controls, signal), winners
+
+
 def reason_text(df: DataFrame, cfg: ConsensusConfig) -> DataFrame:
     """Add ``reason``: which z values passed the configured limits, the fence, and the signal count."""
     checks = [("z_global", "global z", cfg.k_global), ("z_local", "local z", cfg.k_local), ("z_diff", "diff z", cfg.k_diff), ("z_peer", "peer z", cfg.k_peer)]
@@ -343,8 +379,11 @@ __all__ = [
     "CONSERVATIVE",
     "MULTI_SIGNAL",
     "ConsensusConfig",
+    "ModelConfig",
     "consensus",
+    "consensus_peers",
     "frozen_limits",
+    "multimodel",
     "peer_residual_z",
     "reason_text",
     "signal_values",
