@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -291,6 +293,47 @@ def rolling_baseline(series: Series, window: int = 30, k: float = 3.0, expanding
     )
 
 
+def ewma_prev(series: Series, span: float = 12.0, column: str = "value", name: str = "ewma_prev") -> DataFrame:
+    """Exponentially weighted mean of the rows before each row; null before the first reading.
+
+    A missing reading keeps the mean, and makes earlier ones count less once the next comes. Every reading is an
+    affine map of the mean so far, and maps compose: blocks of readings, each long enough to forget what came
+    before the block ahead of it, are folded apart and then chained, so a tag may be spread over any number of tasks.
+    """
+    keep = 1.0 - 2.0 / (span + 1.0)
+    if not 0.0 < keep < 1.0:
+        raise ValueError("span has to be above 1")
+    # after so many readings less than 1e-37 of a mean is left
+    block = min(max(int(-85.0 / math.log(keep)) + 1, 2), 2**31 - 1)
+    rows = series.lane().numbered("_at").done()
+    rows = settle(rows)
+    seen = rows.where(F.col(column).isNotNull()).select("tag", "_at", F.col(column).alias("_x"))
+    lane = Lane(seen, ["tag"], ["_at"], series.tag_rows).rolling(1, 0, lambda w: {"_last": F.lag("_at").over(w)}).numbered("_no")
+    old = F.pow(F.lit(keep), F.col("_at") - F.col("_last"))
+    # mean = a * mean before + b; the first reading is the mean
+    maps = lane.done().select(
+        "tag",
+        "_at",
+        F.floor((F.col("_no") - 1) / block).alias("_blk"),
+        F.coalesce(F.log(old / (old + 1 - keep)), F.lit(0.0)).alias("_la"),
+        F.coalesce((1 - keep) / (old + 1 - keep), F.lit(1.0)).alias("_w"),
+        "_x",
+    )
+    inside = Window.partitionBy("tag", "_blk").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    maps = maps.withColumn("_pa", F.sum("_la").over(inside))
+    maps = maps.withColumn("_b", F.exp("_pa") * F.sum(F.col("_w") * F.col("_x") * F.exp(-F.col("_pa"))).over(inside))
+    maps = settle(maps.select("tag", "_at", "_blk", F.exp("_pa").alias("_a"), "_b"))
+    ends = maps.groupBy("tag", "_blk").agg(F.max_by(F.struct("_a", "_b"), "_at").alias("_e"))
+    ahead = Window.partitionBy("tag").orderBy("_blk")
+    ends = ends.withColumns({"_e1": F.lag("_e", 1).over(ahead), "_e2": F.lag("_e", 2).over(ahead)})
+    carry = F.coalesce(F.col("_e1._b"), F.lit(0.0)) + F.coalesce(F.col("_e1._a") * F.col("_e2._b"), F.lit(0.0))
+    means = maps.join(ends.select("tag", "_blk", carry.alias("_carry")), ["tag", "_blk"])
+    means = means.select("tag", "_at", (F.col("_a") * F.col("_carry") + F.col("_b")).alias("_mean"))
+    joined = rows.join(means, ["tag", "_at"], "left")
+    out = series.lane(joined).running({"_so_far": ("last", "_mean")}).rolling(1, 0, lambda w: {name: F.lag("_so_far").over(w)})
+    return out.done().drop("_at", "_mean", "_so_far")
+
+
 def lag_features(series: Series, lags: int = 3) -> DataFrame:
     """Value and its first lags side by side."""
     return (
