@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("series", "stats", "windows", "limits", "detect", "pairs", "consensus", "clusters", "causal", "report", "models", "streams")
+MODULES = ("series", "stats", "windows", "limits", "detect", "pairs", "consensus", "clusters", "causal", "report", "models", "rolling", "streams")
 
 
 def load() -> None:

@@ -254,24 +254,23 @@ def _ewma_sql(src: str, span: int) -> str:
         f"o AS (SELECT *, row_number() OVER ({W}) AS pos FROM {src}), s AS (SELECT tag, pos, value, row_number() OVER (PARTITION BY tag ORDER BY pos) AS nr, pos - lag(pos) OVER (PARTITION BY tag ORDER BY pos) AS gap FROM o WHERE value IS NOT NULL), "
         f"w AS (SELECT *, pow({keep}, gap) AS old FROM s), "
         f"e(tag, pos, nr, mean) AS (SELECT tag, pos, nr, value FROM w WHERE nr = 1 UNION ALL SELECT w.tag, w.pos, w.nr, (w.old * e.mean + (1 - {keep}) * w.value) / (w.old + 1 - {keep}) FROM e JOIN w ON w.tag = e.tag AND w.nr = e.nr + 1) "
-        f"SELECT ts, o.tag, {rs('value')}, round(last_value(mean IGNORE NULLS) OVER (PARTITION BY o.tag ORDER BY o.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) + 0.0 AS ewma_prev FROM o LEFT JOIN e ON e.tag = o.tag AND e.pos = o.pos"
+        f"SELECT ts, o.tag, {rs('value')}, round(last_value(mean IGNORE NULLS) OVER (PARTITION BY o.tag ORDER BY o.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 4) + 0.0 AS ewma_prev FROM o LEFT JOIN e ON e.tag = o.tag AND e.pos = o.pos"
     )
 
 
-@query("e23_ewma_prev", f"WITH RECURSIVE {ORDERS}, {_ewma_sql('ords', 12)}", digits=2)
+@query("e23_ewma_prev", f"WITH RECURSIVE {ORDERS}, {_ewma_sql('ords', 12)}")
 def _(spark, folder):
-    return windows.ewma_prev(shapes.order_daily(spark, folder)).select("ts", "tag", "value", "ewma_prev")
+    return windows.ewma_prev(shapes.order_daily(spark, folder)).select("ts", "tag", "value", F.round("ewma_prev", 4).alias("ewma_prev"))
 
 
 # every fifth reading missing
 @query(
     "e23_ewma_prev_gappy",
     f"WITH RECURSIVE {ORDERS}, gp AS (SELECT ts, tag, row_index, CASE WHEN day(ts) % 5 <> 0 THEN value END AS value FROM ords), {_ewma_sql('gp', 5)}",
-    digits=2,
 )
 def _(spark, folder):
     s = shapes.order_daily(spark, folder).pipe(lambda d: d.withColumn("value", F.when(F.day("ts") % 5 != 0, F.col("value"))))
-    return windows.ewma_prev(s, 5).select("ts", "tag", "value", "ewma_prev")
+    return windows.ewma_prev(s, 5).select("ts", "tag", "value", F.round("ewma_prev", 4).alias("ewma_prev"))
 
 
 @query(
