@@ -43,17 +43,41 @@ _LABELS = (
 
 @query("i2_status_labels", _LABELS)
 def _(spark, folder):
-    """Labels without the sampled isolation step, which is checked on its own."""
+    """Labels without the isolation step."""
     return detect.status_labels(shapes.ship_daily(spark, folder))
 
 
-@query("i2b_tail_isolation")
+_UNIT = "(('0x' || substr(md5('42:' || tree || ':' || level || ':' || (c - 1)), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"
+_ISOLATION = (
+    "en(tree, level, ends) AS (SELECT tree, 0, [0.0::DOUBLE, 1.0::DOUBLE] FROM (SELECT unnest(range(0, 50)) AS tree) UNION ALL "
+    f"SELECT tree, level + 1, list_append(flatten(list_transform(range(1, len(ends)), lambda c : [ends[c], ends[c] + (ends[c + 1] - ends[c]) * {_UNIT}])), 1.0::DOUBLE) FROM en WHERE level < 8), "
+    "lf AS (SELECT tree, unnest(range(0, 256)) AS leaf, unnest(list_prepend(-1.0::DOUBLE, ends[2:256])) AS lo, unnest(ends[2:]) AS hi FROM en WHERE level = 8), "
+    "mm AS (SELECT tag, min(value) AS lo, max(value) AS hi FROM sensor GROUP BY tag), "
+    "sh AS (SELECT s.*, CASE WHEN hi > lo THEN (value - lo) / (hi - lo) ELSE 0.0 END AS share FROM sensor s JOIN mm USING (tag) WHERE value IS NOT NULL), "
+    "pl AS (SELECT ts, row_index, tag, value, tree, leaf FROM sh JOIN lf ON share > lf.lo AND share <= lf.hi), "
+    "ct AS (SELECT tag, tree, leaf, count(*) AS n FROM pl GROUP BY ALL), "
+    "lv AS (SELECT tag, tree, leaf, n, level, sum(n) OVER (PARTITION BY tag, tree, level, leaf // (2 ** (8 - level))::BIGINT) AS whole FROM ct, (SELECT unnest(range(0, 9)) AS level)), "
+    "dp AS (SELECT tag, tree, leaf, coalesce(min(level) FILTER (whole <= 1), 8 + CASE WHEN max(n) > 1 THEN 2 * (ln(max(n) - 1) + 0.5772156649015329) - 2 * (max(n) - 1) / max(n) ELSE 0 END) AS depth FROM lv GROUP BY ALL), "
+    "iso AS (SELECT ts, row_index, tag, any_value(value) AS value, round(avg(depth::DOUBLE), 9) AS depth FROM pl JOIN dp USING (tag, tree, leaf) GROUP BY ts, row_index, tag), "
+    "ic AS (SELECT tag, round(quantile_cont(depth, 0.02), 9) AS cut FROM iso GROUP BY tag), "
+    "io AS (SELECT iso.*, depth < cut AS isolated FROM iso JOIN ic USING (tag))"
+)
+
+
+@query("i2b_tail_isolation", f"WITH RECURSIVE {SENSOR}, {_ISOLATION} SELECT ts, tag, {rs('value')}, round(depth, 6) + 0.0 AS isolation_depth, isolated FROM io")
 def _(spark, folder):
     df = detect.tail_isolation(shapes.sensor_long(spark, folder))
     return df.select("ts", "tag", "value", "isolation_depth", "isolated")
 
 
-@query("i2_status_labels_isolation")
+_LABELS_ISO = (
+    _LABELS.replace("WITH ", "WITH RECURSIVE ", 1).replace(SHIP, f"{SENSOR}, {_ISOLATION}").replace("FROM ship s", "FROM sensor s").replace(center_scale("ship", "value", "c", "unit", "1e-300"), center_scale("sensor", "value", "c", "unit", "1e-300"))
+    .replace("SELECT ts, tag,", "SELECT k.ts, k.tag,").replace(rs("value", "z_score"), "round(k.value, 6) + 0.0 AS value, round(z_score, 6) + 0.0 AS z_score")
+    .replace("ELSE 'normal'", "WHEN isolated THEN 'isolation_outlier' ELSE 'normal'").replace("WHEN value IS NULL", "WHEN k.value IS NULL").replace("AS status FROM k", "AS status FROM k LEFT JOIN io ON io.tag = k.tag AND io.ts = k.ts AND io.row_index = k.row_index")
+)
+
+
+@query("i2_status_labels_isolation", _LABELS_ISO)
 def _(spark, folder):
     s = shapes.sensor_long(spark, folder)
     return detect.status_labels(s, detect.tail_isolation(s))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorium.functions.classes import binary_status, crossed_limit, limit_status, z_direction, z_ladder
@@ -22,9 +23,8 @@ from sensorium.operators.windows import (
     run_length,
 )
 from sensorium.plans.attach import attach
-from sensorium.plans.lane import Lane
 from sensorium.series import Series
-from sensorium.session import settle
+from sensorium.session import settle, task_rows
 
 Detector = Callable[[Series], DataFrame]
 _DETECTORS: dict[str, Detector] = {}
@@ -61,50 +61,76 @@ def simple_status(series: Series, threshold: float = 3.5) -> DataFrame:
     return df.select("tag", (F.col("num_flags") > 0).alias("is_outlier"), "first_outlier_ts", "num_flags")
 
 
-def tail_isolation(series: Series, share: float = 0.02, trees: int = 50, sample: int = 256, seed: int = 42) -> DataFrame:
-    """Readings with their isolation depth and a flag on the most isolated share.
+LEVELS = 8
 
-    Random 1-D split trees are grown per tag on a fixed-size, hash-picked sample; their
-    mean depth is a step function of the value. Readings pick up the step they fall on
-    by one ordered merge, so only the samples reach Python.
+
+def _cuts(trees: int, seed: int) -> np.ndarray:
+    """Ends of all leaves' intervals but the last, as shares of a tag's range: (trees, 2**LEVELS - 1), rising.
+
+    Every cell is cut at a share of its own width that comes from the hash of seed, tree, level and cell.
+    """
+    ends = np.tile([0.0, 1.0], (trees, 1))
+    for level in range(LEVELS):
+        share = np.array([[int(hashlib.md5(f"{seed}:{t}:{level}:{c}".encode()).hexdigest()[:13], 16) / 2**52 for c in range(2**level)] for t in range(trees)])
+        cuts = ends[:, :-1] + (ends[:, 1:] - ends[:, :-1]) * share
+        both = np.empty((trees, 2 ** (level + 1) + 1))
+        both[:, ::2], both[:, 1::2] = ends, cuts
+        ends = both
+    return ends[:, 1:-1]
+
+
+def _leaves(share: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Leaf of each share of the range in each tree, numbered through: (rows, trees)."""
+    return np.stack([np.searchsorted(c, share, "left") + t * 2**LEVELS for t, c in enumerate(cuts)], 1)
+
+
+def _depths(count: np.ndarray, trees: int) -> np.ndarray:
+    """Path length that every leaf stands for: down to the first cell with at most one reading, or the leaf."""
+    n = count.reshape(trees, 2**LEVELS).astype(float)
+    more = np.maximum(n, 2.0)
+    depth = LEVELS + np.where(n > 1, 2 * (np.log(more - 1) + np.euler_gamma) - 2 * (more - 1) / more, 0.0)
+    for level in range(LEVELS, -1, -1):
+        whole = n.reshape(trees, 2**level, -1).sum(2).repeat(2 ** (LEVELS - level), 1)
+        depth = np.where(whole <= 1, level, depth)
+    return depth.ravel()
+
+
+def tail_isolation(series: Series, share: float = 0.02, trees: int = 50, seed: int = 42) -> DataFrame:
+    """Readings with their mean isolation depth and a flag on the most isolated share.
+
+    Every tree cuts a tag's range at random, cell by cell, ``LEVELS`` times. One pass counts all readings per (tag,
+    tree, cell), a second reads off how early each reading's cell holds nothing else. Blocks of a tag count
+    apart, so its readings never gather in one task.
     """
-    pick = Window.partitionBy("tag").orderBy(F.xxhash64("ts", "row_index", F.lit(seed)), "ts", "row_index")
     base = series.df.where(F.col("value").isNotNull())
-    picked = base.withColumn("_k", F.row_number().over(pick)).where(F.col("_k") <= sample).select("tag", "value")
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng(seed)
-        values = np.sort(pdf["value"].to_numpy(float))
-        edges = np.unique(values)
-        middles = (edges[:-1] + edges[1:]) / 2
-        probes = np.concatenate([edges[:1] - 1.0, middles, edges[-1:] + 1.0])
-        deepest = int(np.ceil(np.log2(max(len(values), 2))))
-        depth = np.zeros(len(probes))
-        for _ in range(trees):
-            todo = [(0, len(values), 0, len(probes), 0)]
-            while todo:
-                a, b, p, q, level = todo.pop()
-                lo, hi = (values[a], values[b - 1]) if b > a else (0.0, 0.0)
-                if level >= deepest or b - a < 2 or lo == hi:
-                    n = b - a
-                    rest = 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n if n > 1 else 0.0
-                    depth[p:q] += level + rest
-                    continue
-                at = rng.uniform(lo, hi)
-                mid = a + int(np.searchsorted(values[a:b], at, "right"))
-                cut = p + int(np.searchsorted(probes[p:q], at, "right"))
-                todo.append((a, mid, p, cut, level + 1))
-                todo.append((mid, b, cut, q, level + 1))
-        starts = np.concatenate([[-np.inf], edges])
-        return pd.DataFrame({"tag": pdf["tag"].iloc[0], "value": starts, "depth": depth / trees})
-
-    steps = picked.groupBy("tag").applyInPandas(grow, "tag string, value double, depth double")
-    rows = base.select("tag", "value", "ts", "row_index", F.lit(1).alias("_k"))
-    merged = rows.unionByName(steps.withColumn("_k", F.lit(0)), allowMissingColumns=True)
-    lane = Lane(merged, ["tag"], ["value", "_k", "ts", "row_index"]).running({"_d": ("last", "depth")})
-    scored = lane.done().where("_k = 1").select("tag", "ts", "row_index", "value", F.col("_d").alias("isolation_depth"))
+    ends = base.groupBy("tag").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
+    width = F.col("_hi") - F.col("_lo")
+    count = max(1, -(-series.tag_rows // task_rows(base.sparkSession)))
+    placed = series.attach(ends, base).select(
+        "tag", "ts", "row_index", "value", F.when(width > 0, (F.col("value") - F.col("_lo")) / width).otherwise(0.0).alias("share"), F.pmod(F.xxhash64("ts", "row_index"), F.lit(count)).alias("block")
+    )
+    placed = settle(placed)
+
+    def tally(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = np.bincount(_leaves(pdf["share"].to_numpy(), _cuts(trees, seed)).ravel(), minlength=trees * 2**LEVELS)
+        at = np.flatnonzero(found)
+        return pd.DataFrame({"tag": pdf["tag"].iloc[0], "leaf": at, "n": found[at]})
+
+    counts = placed.select("tag", "block", "share").groupBy("tag", "block").applyInPandas(tally, "tag string, leaf int, n long")
+    held = counts.groupBy("tag", "leaf").agg(F.sum("n").alias("n")).groupBy("tag").agg(F.collect_list(F.struct("leaf", "n")).alias("_c"))
+    held = held.select("tag", F.col("_c.leaf").alias("leaf"), F.col("_c.n").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block"))
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        n = np.zeros(trees * 2**LEVELS)
+        n[np.asarray(right["leaf"].iloc[0], int)] = np.asarray(right["n"].iloc[0], float)
+        depth = _depths(n, trees)[_leaves(left["share"].to_numpy(), _cuts(trees, seed))].mean(1)
+        return left[["tag", "ts", "row_index", "value"]].assign(isolation_depth=np.round(depth, 9))
+
+    kind = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
+    scored = placed.groupBy("tag", "block").cogroup(held.groupBy("tag", "block"))
+    scored = settle(scored.applyInPandas(score, f"tag string, ts {kind['ts']}, row_index {kind['row_index']}, value double, isolation_depth double"))
     cut = series.quantiles({"_cut": ("isolation_depth", share)}, scored)
-    return series.attach(cut, scored).withColumn("isolated", F.col("isolation_depth") < F.col("_cut")).drop("_cut")
+    return series.attach(cut, scored).withColumn("isolated", F.col("isolation_depth") < F.round("_cut", 9)).drop("_cut")
 
 
 def status_labels(series: Series, isolation: DataFrame | None = None) -> DataFrame:
