@@ -43,10 +43,10 @@ class Scratch:
         self.paths: dict[int, str] = {}
         self.made = 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, **options: str) -> DataFrame:
         path = f"{self.folder}/{self.made}"
         self.made += 1
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         out._scratch_path = path
