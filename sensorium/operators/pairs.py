@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorium.operators.stats import global_quantiles
 from sensorium.plans.attach import beside
-from sensorium.plans.gram import gram, pair_histograms, pair_moments, tag_ids
+from sensorium.plans.gram import HIST_BLOCK, gram, pair_histograms, pair_information, pair_moments, tag_ids
 from sensorium.plans.lane import Lane
 from sensorium.series import Series
 from sensorium.session import settle
@@ -99,17 +99,18 @@ def cross_corr(series: Series, max_lag: int = 7, need: int = 30) -> DataFrame:
 def hist_mutual_info(series: Series, bins: int = 14, need: int = 40) -> DataFrame:
     """Mutual information in nats of equal-width histograms, and its share of the 95 % quantile."""
     ids = tag_ids(series)
-    counts = settle(pair_histograms(series, ids, bins))
     keys = ["tag_a", "tag_b"]
-    rows = counts.groupBy(*keys, "ka").agg(F.sum("n").alias("na"))
-    cols = counts.groupBy(*keys, "kb").agg(F.sum("n").alias("nb"))
-    total = counts.groupBy(*keys).agg(F.sum("n").alias("nt"))
-    cells = counts.join(rows, [*keys, "ka"]).join(cols, [*keys, "kb"]).join(total, keys)
-    term = F.col("n") / F.col("nt") * F.ln(F.col("n") * F.col("nt") / (F.col("na") * F.col("nb")))
-    mi = cells.groupBy(*keys).agg(F.sum(term).alias("_mi"), F.max("nt").alias("_n"))
-    mi = settle(
-        mi.select(*keys, F.when(F.col("_n") >= need, F.greatest(F.col("_mi"), F.lit(0.0))).otherwise(0.0).alias("mi"))
-    )
+    if series.tags > HIST_BLOCK:
+        every = pair_information(series, ids, bins)
+    else:
+        counts = settle(pair_histograms(series, ids, bins))
+        rows = counts.groupBy(*keys, "ka").agg(F.sum("n").alias("na"))
+        cols = counts.groupBy(*keys, "kb").agg(F.sum("n").alias("nb"))
+        total = counts.groupBy(*keys).agg(F.sum("n").alias("nt"))
+        cells = counts.join(rows, [*keys, "ka"]).join(cols, [*keys, "kb"]).join(total, keys)
+        term = F.col("n") / F.col("nt") * F.ln(F.col("n") * F.col("nt") / (F.col("na") * F.col("nb")))
+        every = cells.groupBy(*keys).agg(F.sum(term).alias("mi"), F.max("nt").alias("n"))
+    mi = settle(every.select(*keys, F.when(F.col("n") >= need, F.greatest(F.col("mi"), F.lit(0.0))).otherwise(0.0).alias("mi")))
     high = global_quantiles(mi, {"_hi": ("mi", 0.95)})
     df = beside(mi, high)
     return df.withColumn("mi_norm", F.least(F.lit(1.0), F.col("mi") / F.when(F.col("_hi") > 0, F.col("_hi")).otherwise(1.0))).drop("_hi")

@@ -22,6 +22,8 @@ from sensorium.series import Series
 from sensorium.session import settle, task_rows
 
 TAG_BLOCK = 1024
+#: Tags on each side of a block of pair histograms; a block of 14 x 14 bins takes 25 MB.
+HIST_BLOCK = 128
 
 
 def tag_ids(series: Series) -> DataFrame:
@@ -173,18 +175,23 @@ def _blocked(packed: DataFrame, lags: int, tags: int) -> DataFrame:
     return rows.mapInArrow(run, _MOMENTS)
 
 
-def pair_histograms(series: Series, ids: DataFrame, bins: int = 14) -> DataFrame:
-    """Counts per pair of tags (a < b) and pair of equal-width bins over each tag's range."""
+def _bin_codes(series: Series, ids: DataFrame, bins: int) -> DataFrame:
+    """``ts, i, x``: number of the tag, and bin of its (averaged) reading in its range."""
     mean = series.df.where(F.col("value").isNotNull()).groupBy("ts", "tag").agg(F.avg("value").alias("value"))
     df = attach(mean, ids, "tag", series.tags, "inner")
     share = (F.col("value") - F.col("_low")) / (F.col("_high") - F.col("_low"))
     code = F.coalesce(F.least(F.floor(share * bins), F.lit(bins - 1)), F.lit(0)).cast("double")
-    cell = F.struct(F.col("_id").alias("i"), code.alias("x"))
-    packed = df.groupBy("ts").agg(F.sort_array(F.collect_list(cell)).alias("p"))
+    return df.select("ts", F.col("_id").alias("i"), code.alias("x"))
+
+
+def pair_histograms(series: Series, ids: DataFrame, bins: int = 14) -> DataFrame:
+    """Counts per pair of tags (a < b) and pair of equal-width bins over each tag's range."""
+    df = _bin_codes(series, ids, bins)
+    packed = df.groupBy("ts").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("p"))
     packed = packed.select(F.col("p.i").alias("i0"), F.col("p.x").alias("x0"))
     tags = series.tags
-    if tags > TAG_BLOCK:
-        raise ValueError("choose the tags first; histograms of all pairs of so many tags are not useful")
+    if tags > HIST_BLOCK:
+        raise ValueError("so many tags are counted by pair_information, in blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = bins * bins
@@ -210,6 +217,70 @@ def pair_histograms(series: Series, ids: DataFrame, bins: int = 14) -> DataFrame
     return attach(attach(counts, left, "a", tags), right, "b", tags).drop("a", "b")
 
 
+def pair_information(series: Series, ids: DataFrame, bins: int = 14) -> DataFrame:
+    """``tag_a, tag_b, n, mi`` of every pair of any number of tags, from the same histograms.
+
+    A task counts the pairs of two blocks of tags over a share of the timestamps; a second one adds up the shares of
+    one tag's pairs and turns them into nats, so that only one short row per pair is written.
+    """
+    codes = _bin_codes(series, ids, bins)
+    tags, wide = series.tags, HIST_BLOCK
+    blocks = -(-tags // wide)
+    pairs = blocks * (blocks + 1) // 2
+    spread = max(1, int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")) // pairs)
+    # a block of a timestamp's cells goes to every pair of blocks it is in
+    cells = codes.select("ts", F.floor(F.col("i") / wide).cast("int").alias("own"), F.struct("i", "x").alias("cell"))
+    packed = cells.groupBy("ts", "own").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
+    sent = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = sent.select("ts", F.least("own", "other").alias("bp"), F.greatest("own", "other").alias("bq"), "own", "cells")
+    met = sent.groupBy("bp", "bq", "ts").agg(
+        F.flatten(F.collect_list(F.when(F.col("own") == F.col("bp"), F.col("cells")))).alias("p"), F.flatten(F.collect_list(F.when(F.col("own") == F.col("bq"), F.col("cells")))).alias("q")
+    )
+    met = met.withColumn("s", F.pmod(F.xxhash64("ts"), F.lit(spread)))
+    named = [F.col(f"{side}.{c}").alias(f"{c}{k}") for k, side in enumerate("pq") for c in "ix"]
+    size = bins * bins
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+        for batch in batches:
+            p, q = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bp", "bq"))
+            for key in sorted(set(zip(p.tolist(), q.tolist(), strict=True))):
+                if key != at:
+                    if at is not None:
+                        yield from give(at, total)
+                    at, total = key, np.zeros((wide, wide * size))
+                part = batch.filter(pa.array((p == key[0]) & (q == key[1])))
+                left, right = (_dense(part, k, wide, key[k] * wide) for k in range(2))
+                for a in range(wide):
+                    cell = left[:, a, None] * bins + right + np.arange(wide)[None, :] * size
+                    total[a] += np.bincount(cell[~np.isnan(cell)].astype(np.int64), minlength=wide * size)
+        if at is not None:
+            yield from give(at, total)
+
+    def give(key: tuple[int, int], total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        used = np.flatnonzero(total.any(1))
+        for a in used.tolist():
+            values = [[key[0] * wide + a], [key[1]], [total[a].astype("<f8").tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["a", "bq", "h"])
+
+    def inform(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, block = int(pdf["a"].iloc[0]), int(pdf["bq"].iloc[0])
+        h = sum(np.frombuffer(v, "<f8") for v in pdf["h"]).reshape(wide, bins, bins)
+        n = h.sum((1, 2))
+        rows, cols = h.sum(2, keepdims=True), h.sum(1, keepdims=True)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            term = h / n[:, None, None] * np.log(h * n[:, None, None] / (rows * cols))
+        b = block * wide + np.arange(wide)
+        keep = (n > 0) & (b > a)
+        return pd.DataFrame({"a": np.int32(a), "b": b[keep].astype(np.int32), "n": n[keep], "mi": np.nansum(term, (1, 2))[keep]})
+
+    parts = met.select("bp", "bq", "s", *named).repartition("bp", "bq", "s").sortWithinPartitions("bp", "bq").mapInArrow(count, "a int, bq int, h binary")
+    sums = parts.groupBy("a", "bq").applyInPandas(inform, "a int, b int, n double, mi double")
+    left = ids.select(F.col("_id").alias("a"), F.col("tag").alias("tag_a"))
+    right = ids.select(F.col("_id").alias("b"), F.col("tag").alias("tag_b"))
+    return attach(attach(sums, left, "a", tags), right, "b", tags).drop("a", "b")
+
+
 def gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """X'X per key over rows without missing values, X = (1, columns): ``keys, g array<double>``.
 
@@ -241,4 +312,4 @@ def gram(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFram
     return packed.select(*keys, F.col("_kv.v").alias("g")).where(F.size("g") == width * width)
 
 
-__all__ = ["gram", "packed_rows", "pair_histograms", "pair_moments", "tag_ids"]
+__all__ = ["HIST_BLOCK", "gram", "packed_rows", "pair_histograms", "pair_information", "pair_moments", "tag_ids"]
