@@ -17,8 +17,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Rule:
-    """``name`` and verdict; ``pattern`` is searched in ``host path``; ``tokens`` are literals that every match holds.
+    """``name`` and verdict; ``pattern`` is searched in ``host?path``; ``tokens`` are literals that every match holds.
 
+    Neither a host nor a path holds a question mark, so it tells them apart whatever else they hold.
     A token is a run of letters and digits of the host or path that stands complete
     between other characters. Named rules beat nameless ones, then the longer wins.
     """
@@ -36,13 +37,13 @@ def prefix_rule(verdict: str, host: str, path: str) -> Rule:
         raise ValueError("a prefix rule needs a host")
     # the last run of the path may go on in the URL, so it is no complete token
     whole = re.findall(r"[0-9a-z]+(?=[^0-9a-z])", path)
-    pattern = rf"^(?:[^ ]*\.)?{re.escape(host)} {re.escape(path)}"
+    pattern = rf"^(?:[^?]*\.)?{re.escape(host)}\?{re.escape(path)}"
     return Rule(verdict, pattern, tuple(re.findall(r"[0-9a-z]+", host) + whole), host + path, 1_000_000 + len(host + path))
 
 
 def word_rule(verdict: str, *words: str) -> Rule:
     """Fits hosts with all these complete words in this order, side by side."""
-    pattern = r"^(?:[^ ]*[^0-9a-z ])?" + "[^0-9a-z ]".join(map(re.escape, words)) + r"(?:[^0-9a-z ][^ ]*)? "
+    pattern = r"^(?:[^?]*[^0-9a-z?])?" + "[^0-9a-z?]".join(map(re.escape, words)) + r"(?:[^0-9a-z?][^?]*)?\?"
     return Rule(verdict, pattern, words, None, len("".join(words)))
 
 
@@ -78,7 +79,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], default: str = "allow", url_c
     host, path = host_and_path(F.col("url"))
     rows = pick(pages, url=url_column, **{f"k{i}": c for i, c in enumerate(keep)}).withColumns({"host": host, "path": path})
     places = scratch.keep(
-        rows.select("host", "path").distinct().withColumn("line", F.concat_ws(" ", "host", "path"))
+        rows.select("host", "path").distinct().withColumn("line", F.concat_ws("?", "host", "path"))
         .withColumn("tokens", F.array_distinct(F.regexp_extract_all("line", F.lit("([0-9a-z]+)"))))
     )
     index = _filed(spark, scratch, places, rules)

@@ -229,3 +229,10 @@ def test_unigram_with_byte_fallback(fewer):
     own = pieces.build(pieces.parse(data))
     for text in ("ab", "a b  ab", "abba é b", " ab ", "bbb aab"):
         assert own.encode(text, add_special_tokens=False).ids == known.encode(text), text
+
+
+def test_url_hosts_with_spaces_and_line_breaks(spark):
+    urls_of = ["http://a b.example.org/es/x", "http://a\nb.example.org/es/x", "http://x casino.net/", "http://exampleXorg/es/", "http://net?.example.org/es/", "http://.org/"]
+    pages = spark.createDataFrame(list(enumerate(urls_of)), "page_id int, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, queries.URL_RULES + urls.DEFAULT_RULES).collect()}
+    assert got == {0: ("example.org/es/", "block"), 1: ("example.org/es/", "block"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "allow"), 5: ("org/", "allow")}
