@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorium.llm.base import Scratch, pick
@@ -80,18 +79,63 @@ def _terms(all_: DataFrame) -> DataFrame:
     return tokens.groupBy("header", "licence", "token").agg(F.count("*").alias("tf"))
 
 
-def noticed(files: DataFrame, least: float) -> Column:
-    """``licence, score`` of the files' ``text`` by ``Notices``, or null; nothing is shuffled."""
-    sent = files.sparkSession.sparkContext.broadcast(Notices())
+def spdx(text: Column, known: Notices) -> Column:
+    """The first SPDX line's licence that is known, or null."""
+    names = F.create_map(*[F.lit(x) for pair in sorted(known.names.items()) for x in pair])
+    said = F.regexp_extract_all(F.lower(text), F.lit(r"spdx-license-identifier:[\s(]*([a-z0-9.+-]+)"), 1)
+    plain = F.transform(said, lambda n: F.try_element_at(names, F.regexp_replace(n, r"(?:-only|-or-later|\+)$", "")))
+    return F.get(F.filter(plain, lambda n: n.isNotNull()), 0)
 
-    @F.arrow_udf("struct<licence: string, score: double>")
-    def find(text: pa.Array, whole: pa.Array) -> pa.Array:
-        found = [sent.value.find(t.as_py(), w.as_py(), least) if t.is_valid else None for t, w in zip(text, whole, strict=True)]
-        return pa.array([f and {"licence": f[0], "score": f[1]} for f in found], pa.struct([("licence", pa.string()), ("score", pa.float64())]))
 
-    whole = F.coalesce(lower(F.col("path")).rlike(LICENCE_FILE), F.lit(False))
-    # other texts stay out of Python
-    return find(F.when(whole | lower(F.col("text")).rlike(f"{HEADER}|public domain"), F.col("text")), whole)
+def pieces_of(rows: DataFrame) -> DataFrame:
+    """``row, piece`` of ``row, text, whole``: what of a text may be a notice.
+
+    Runs of comment or plain lines with a header word, their paragraphs, sentences and lines; of licence files
+    (``whole``) the text too. Lines that only name the holders are left out. Windows and groups hold one text.
+    """
+    comment = r"^\s*(?:#+|//+!?|/\*+!?|\*+/?|--+|;+|%+|<!--|\"\"\"|''')\s?"
+    head = rf"{HEADER}|public domain"
+    low = F.lower("text")
+    lines = rows.select("row", F.posexplode(F.split(low, "\n")).alias("pos", "line"))
+    marked = F.col("line").rlike(comment)
+    # sums over windows number the runs (a blank line or another kind ends one) and the paragraphs
+    order = Window.partitionBy("row").orderBy("pos")
+    lines = lines.withColumn("kind", F.when(marked, "comment").when(F.col("line").rlike(r"\S"), "plain"))
+    lines = lines.withColumn("line", F.when(marked, F.regexp_replace("line", comment, "")).otherwise(F.col("line")))
+    new = F.col("kind").isNull() | ~F.col("kind").eqNullSafe(F.lag("kind").over(order))
+    lines = lines.withColumns({"new": new.cast("int"), "blank": (~F.col("line").rlike(r"\S")).cast("int"), "head": F.col("line").rlike(head)})
+    lines = lines.withColumns({"run": F.sum("new").over(order), "para": F.sum("blank").over(order)})
+    held = F.max("head").over(Window.partitionBy("row", "run"))
+    lines = lines.withColumn("held", held).where(r"held AND blank = 0 AND NOT line RLIKE '^\\W*(?:copyright\\b|\\(c\\)|all rights reserved|portions copyright)'")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " ").alias("piece")
+    runs = lines.groupBy("row", "run").agg(joined).select("row", "piece")
+    paras = lines.groupBy("row", "run", "para").agg(joined).where(F.col("piece").rlike(head))
+    sentences = paras.select("row", F.explode(F.split("piece", r"(?<=[.!?:;])\s+")).alias("piece")).where(F.col("piece").rlike(head))
+    every = runs.union(paras.select("row", "piece")).union(sentences).union(lines.where("head").select("row", "line"))
+    return every.union(rows.where("whole").select("row", low.alias("piece"))).distinct()
+
+
+def noticed(rows: DataFrame, scratch: Scratch, least: float) -> DataFrame:
+    """``row, licence, score`` of ``row, text, whole``: the SPDX line, else the piece nearest to a template of ``Notices``.
+
+    Weights come from the templates alone, a stated list that is small enough to be sent to every task.
+    """
+    spark, known = rows.sparkSession, Notices()
+    named = rows.select("row", spdx(F.col("text"), known).alias("licence"), F.lit(1.0).alias("score")).where("licence IS NOT NULL")
+    pieces = scratch.keep(pieces_of(rows.join(named.select("row"), "row", "left_anti")))
+    apart = scratch.keep(pieces.select("piece").distinct().withColumn("id", F.monotonically_increasing_id()))
+    terms = apart.select("id", F.explode(F.regexp_extract_all("piece", F.lit("([a-z0-9]+)"))).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+    idf = F.broadcast(spark.createDataFrame(sorted(known.idf.items()), "token string, idf double"))
+    weighed = scratch.keep(terms.join(idf, "token", "left").select("id", "token", (F.col("tf") * F.coalesce("idf", F.lit(known.rare))).alias("w")))
+    listed = [(k, name, token, w) for k, (name, vector) in enumerate(known.vectors) for token, w in sorted(vector.items())]
+    templates = F.broadcast(spark.createDataFrame(listed, "no int, licence string, token string, v double"))
+    norm = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = weighed.join(templates, "token").groupBy("id", "no", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    score = F.round(F.col("dot") / F.col("norm"), 9)
+    near = dots.join(norm, "id").select("id", "licence", score.alias("score")).where(F.col("score") >= least)
+    near = near.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b")).join(apart, "id").join(pieces, "piece")
+    best = near.groupBy("row").agg(F.min("b").alias("b")).select("row", "b.licence", (-F.col("b.s")).alias("score"))
+    return scratch.keep(named.union(best))
 
 
 def scan(
@@ -118,14 +162,18 @@ def scan(
     spark = files.sparkSession
     scratch = Scratch(spark)
     rows = pick(files, id=id_column, path=path_column, text=text_column)
-    notice = noticed(rows, least_notice) if least_notice is not None else F.lit(None).cast("struct<licence: string, score: double>")
-    rows = rows.select("id", "path", headers_of(F.col("text")).alias("headers"), notice.alias("notice"))
+    whole = F.coalesce(lower(F.col("path")).rlike(LICENCE_FILE), F.lit(False))
+    # only texts that may hold a notice are kept for comparing
+    may = F.when(whole | lower(F.col("text")).rlike(f"{HEADER}|public domain"), F.col("text"))
+    rows = rows.select("id", "path", headers_of(F.col("text")).alias("headers"), may.alias("text"), whole.alias("whole"))
     rows = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()))
     held = rows.filter(F.size("headers") > 0).select("row", F.explode("headers").alias("header"))
     nearest = scratch.keep(scores(held.select("header").distinct(), templates, least))
     own = held.join(nearest, "header").groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("s"), "licence")).alias("b"))
     own = own.select("row", "b.licence", (-F.col("b.s")).alias("score"), F.lit(0).alias("kind"))
-    own = own.union(rows.filter("notice is not null").select("row", "notice.licence", "notice.score", F.lit(1)))
+    if least_notice is not None:
+        found = noticed(rows.where("text IS NOT NULL").select("row", "text", "whole"), scratch, least_notice)
+        own = own.union(found.select("row", "licence", "score", F.lit(1)))
     own = own.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("s"), "kind", "licence")).alias("b"))
     own = scratch.keep(own.select("row", "b.licence", (-F.col("b.s")).alias("score")))
     folder = F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit("")).alias("folder")
