@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import re
 import struct
 import tempfile
 
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 from check import TABLES, compare
 from sensorium.llm import licences, notices, partitions, pieces, queries, tagpaths, urls, warc
+from sensorium.llm.base import Scratch
 from tests.conftest import FOLDER
+from tests.llm import plain_notices
 
 QUOTED = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
 
@@ -236,3 +239,17 @@ def test_url_hosts_with_spaces_and_line_breaks(spark):
     pages = spark.createDataFrame(list(enumerate(urls_of)), "page_id int, url string")
     got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, queries.URL_RULES + urls.DEFAULT_RULES).collect()}
     assert got == {0: ("example.org/es/", "block"), 1: ("example.org/es/", "block"), 2: (None, "block"), 3: (None, "allow"), 4: (None, "allow"), 5: ("org/", "allow")}
+
+
+def test_notices_match_a_plain_version(spark):
+    rng = np.random.default_rng(9)
+    parts = ["# Copyright 2020 Someone", "// Licensed under the MIT License.", "Released under the Apache 2.0 license", "x = 1", "", "#", "* This program is free software: you can redistribute it and/or modify", "SPDX-License-Identifier: BSD-3-Clause-only",
+             "// SPDX-License-Identifier: no-such", "All rights reserved.", "/* Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "it under the terms of the GNU General Public License as published by", "This is free and unencumbered software released into the public domain.", "see the license; or not. Licensed under CC BY-SA 4.0!"]
+    texts = ["\n".join(rng.choice(parts, rng.integers(1, 9))) for _ in range(60)] + ["license\n" * 300, "", "LICENSE"]
+    rows = [(f"{'LICENSE-' if k % 5 == 0 else 'f'}{k}", t) for k, t in enumerate(texts)]
+    known = notices.Notices()
+    want = {p: plain_notices.find(known, t, p.startswith("LICENSE"), 0.3) if re.search("licen[sc]e|copyright|spdx|public domain", t.lower()) or p.startswith("LICENSE") else None for p, t in rows}
+    files = spark.createDataFrame([(k, t, p.startswith("LICENSE")) for k, (p, t) in enumerate(rows)], "row long, text string, whole boolean").where("whole OR lower(text) RLIKE 'licen[sc]e|copyright|spdx|public domain'")
+    got = {rows[r.row][0]: (r.licence, r.score) for r in licences.noticed(files, Scratch(spark), 0.3).collect()}
+    assert got == {p: w for p, w in want.items() if w} and len(set(got.values())) > 5
+
