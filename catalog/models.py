@@ -1,5 +1,7 @@
 """Learned models of every tag, with the sizes that the operators default to; importances and winners have no SQL."""
 
+from pyspark.sql import functions as F
+
 from catalog.base import SHIP, query, rs
 from catalog.pairs import _corr
 from sensorium.operators import consensus, models
@@ -61,9 +63,28 @@ def _(spark, folder):
     return models.model_attribution(s, models.candidates_of(models.pair_scores(s)))
 
 
-@query("k5_feature_filter")
-def _(spark, folder):
-    return models.feature_filter(shapes.ship_daily(spark, folder), "qty_sum")
+# |rho| of all pairs, then each target's other tags by name, one by one; a tag like one already held is passed over.
+_FEATURES = (
+    f"rr AS (SELECT ts, tag, rank() OVER (PARTITION BY tag ORDER BY value) + (count(*) OVER (PARTITION BY tag, value) - 1) / 2.0 AS value FROM ship), "
+    "rh0 AS (SELECT a.tag AS target, b.tag, abs(corr(a.value, b.value)) AS rho FROM rr a JOIN rr b ON a.ts = b.ts AND a.tag <> b.tag GROUP BY 1, 2), "
+    "li AS (SELECT target, tag, row_number() OVER (PARTITION BY target ORDER BY tag) AS nr FROM rh0), "
+    "tw AS (SELECT l.target, l.tag, l.nr, coalesce(list(o.tag) FILTER (o.tag IS NOT NULL), []) AS near FROM li l LEFT JOIN rh0 o ON o.target = l.tag AND o.rho >= SIMILAR GROUP BY ALL), "
+    "gr(target, nr, held) AS (SELECT DISTINCT target, 0::BIGINT, []::VARCHAR[] FROM li UNION ALL SELECT gr.target, tw.nr, CASE WHEN list_has_any(tw.near, held) THEN held ELSE list_append(held, tw.tag) END FROM gr JOIN tw ON tw.target = gr.target AND tw.nr = gr.nr + 1), "
+    "kp AS (SELECT target, unnest(held) AS tag FROM gr QUALIFY nr = max(nr) OVER (PARTITION BY target)), "
+    "nn AS (SELECT tag, count(value) AS n FROM ship GROUP BY tag), "
+    "ft AS (SELECT kp.target, kp.tag, rho, mi, sc.r, CASE WHEN abs(sc.r) < 1 THEN sc.r * sc.r / (1 - sc.r * sc.r) * (nn.n - 2) ELSE 0.0 END AS f FROM kp JOIN rh0 USING (target, tag) JOIN sc ON sc.target = kp.target AND sc.peer = kp.tag JOIN nn ON nn.tag = kp.tag), "
+    "fs AS (SELECT *, rho + mi + f AS score FROM ft)"
+)
+_FEATURE_SQL = f"WITH RECURSIVE {SHIP}, {_SCORES}, {_FEATURES} SELECT target, tag, {rs('rho', 'mi', 'r')}, row_number() OVER (PARTITION BY target ORDER BY round(score, 9) DESC, tag) AS rank, round(f, 3) + 0.0 AS f, round(score, 3) + 0.0 AS score FROM fs"
+
+
+for _name, _similar in (("k5_feature_filter", 0.92), ("k5_feature_filter_strict", 0.3)):
+
+    @query(_name, _FEATURE_SQL.replace("SIMILAR", str(_similar)))
+    def _(spark, folder, similar=_similar):
+        """Features of every tag; the strict one passes over many like ones."""
+        df = models.feature_filter(shapes.ship_daily(spark, folder).stored(), similar=similar)
+        return df.withColumns({"f": F.round("f", 3), "score": F.round("score", 3)})
 
 
 @query("i20_detect_multimodel")

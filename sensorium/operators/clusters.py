@@ -87,6 +87,8 @@ def stepped_windows(series: Series, sizes: Sequence[int] = (120, 180, 240), step
     rows, z = row_quantile_scores(series, 3.0, 5.0)
     n = rows.count()
     sizes = sorted({w for w in sizes if 30 <= w <= n} | ({min(240, n)} if n >= 30 else set()))
+    if not sizes:
+        raise ValueError(f"a window needs 30 timestamps, there are {n}")
     z = z.join(rows.select("ts", "pos"), "ts").withColumn("_z", F.coalesce("z", F.lit(0.0)))
     z = z.withColumns({"_zz": F.col("_z") * F.col("_z"), "_tz": F.col("_z") * F.col("pos")})
     lane = Lane(z, ["tag"], ["pos", "row_index"], series.tag_rows)

@@ -356,22 +356,45 @@ def model_attribution(series: Series, peers: DataFrame, lags: int = 3, most: int
     return order.join(found, ["target", "rank"]).drop("rank")
 
 
-def feature_filter(series: Series, target: str, present: float = 0.65, similar: float = 0.92, top: int = 12) -> DataFrame:
-    """Candidate features of a target: enough values, not constant, not a near copy of a better one, best by three scores."""
+def keep_greedily(items: DataFrame, twins: DataFrame) -> DataFrame:
+    """``target, tag`` rows that stay when a target's tags are taken by name and one like an earlier kept one is left out.
+
+    ``twins`` (tag, other) lists like tags both ways. In each round tags without an undecided earlier twin are kept
+    and their later twins leave; the first undecided tag of a target is always decided.
+    """
+    todo = settle(items.select("target", "tag"))
+    later = settle(twins.where(F.col("tag") < F.col("other")).select(F.col("tag").alias("_first"), F.col("other").alias("tag")))
+    kept = None
+    while True:
+        waiting = todo.join(later, "tag").join(todo.withColumnRenamed("tag", "_first"), ["target", "_first"], "left_semi").select("target", "tag")
+        now = settle(todo.join(waiting, ["target", "tag"], "left_anti"))
+        kept = now if kept is None else settle(kept.unionByName(now))
+        gone = now.withColumnRenamed("tag", "_first").join(later, "_first").select("target", "tag")
+        todo = settle(todo.join(now, ["target", "tag"], "left_anti").join(gone, ["target", "tag"], "left_anti"))
+        if todo.isEmpty():
+            return kept
+
+
+def feature_filter(series: Series, targets: DataFrame | None = None, present: float = 0.65, similar: float = 0.92, top: int = 12) -> DataFrame:
+    """``target, tag, rho, mi, r, f, score``: a target's ``top`` features, of all tags or those in ``targets`` (target).
+
+    Features have readings at a share ``present`` of the timestamps, are not constant, and are not like an earlier kept
+    one (|rho| of ``similar`` or more, taken by name); they are ranked by the sum of |rho|, mutual information and F.
+    """
     total = series.df.select("ts").distinct().count()
-    stats = series.df.groupBy("tag").agg(F.count("value").alias("n"), F.stddev_samp("value").alias("s"))
-    usable = stats.where((F.col("n") >= present * total) & (F.col("s") > 1e-12)).select("tag")
-    rho = settle(both_ways(spearman(series).select("tag_a", "tag_b", F.abs("rho").alias("rho"))))
-    mine = rho.where(F.col("tag_a") == target).select(F.col("tag_b").alias("tag"), "rho").join(usable, "tag", "left_semi")
-    mine = settle(mine)
-    # Keep a feature unless a closer one to the target is nearly the same.
-    twins = rho.where(F.col("rho") >= similar).select(F.col("tag_a").alias("tag"), F.col("tag_b").alias("_o"))
-    better = mine.select(F.col("tag").alias("_o"), F.col("rho").alias("_r"))
-    beaten = mine.join(twins, "tag").join(better, "_o").where((F.col("_r") > F.col("rho")) | ((F.col("_r") == F.col("rho")) & (F.col("_o") < F.col("tag"))))
-    kept = mine.join(beaten.select("tag"), "tag", "left_anti")
-    mi = both_ways(hist_mutual_info(series).select("tag_a", "tag_b", "mi", "mi_norm")).where(F.col("tag_a") == target).select(F.col("tag_b").alias("tag"), "mi", "mi_norm")
-    r = both_ways(pearson(series).select("tag_a", "tag_b", "n", "r")).where(F.col("tag_a") == target).select(F.col("tag_b").alias("tag"), "r", "n")
-    df = kept.join(mi, "tag", "left").join(r, "tag", "left")
-    f = F.col("r") * F.col("r") / (1 - F.col("r") * F.col("r")) * (F.col("n") - 2)
-    score = F.col("rho") + F.coalesce("mi_norm", F.lit(0.0)) + F.abs("r")
-    return df.withColumns({"f": f, "score": score}).drop("n", "mi_norm").orderBy(F.desc("score"), "tag").limit(top)
+    stats = series.df.groupBy("tag").agg(F.count("value").alias("n"), F.var_samp("value").alias("v"))
+    usable = settle(stats.where((F.col("n") >= present * total) & (F.col("v") >= 1e-8)).select("tag"))
+    rho = settle(both_ways(spearman(series).select("tag_a", "tag_b", F.abs("rho").alias("rho"))).withColumnsRenamed({"tag_a": "target", "tag_b": "tag"}))
+    mine = rho.join(usable, "tag", "left_semi")
+    if targets is not None:
+        mine = mine.join(targets.select("target").distinct(), "target", "left_semi")
+    kept = keep_greedily(mine, rho.where(F.col("rho") >= similar).select(F.col("target").alias("tag"), F.col("tag").alias("other")))
+    mi = both_ways(hist_mutual_info(series).select("tag_a", "tag_b", "mi")).withColumnsRenamed({"tag_a": "target", "tag_b": "tag"})
+    r = both_ways(pearson(series).select("tag_a", "tag_b", "n", "r")).withColumnsRenamed({"tag_a": "target", "tag_b": "tag"})
+    df = mine.join(kept, ["target", "tag"]).join(mi, ["target", "tag"], "left").join(r, ["target", "tag"], "left")
+    square = F.col("r") * F.col("r")
+    f = F.when(F.abs("r") < 1, square / (1 - square) * (F.col("n") - 2)).otherwise(0.0)
+    score = F.col("rho") + F.coalesce("mi", F.lit(0.0)) + F.coalesce(f, F.lit(0.0))
+    best = Window.partitionBy("target").orderBy(F.desc(F.round("score", 9)), "tag")
+    df = df.withColumns({"f": f}).withColumn("score", score).withColumn("rank", F.row_number().over(best))
+    return df.where(F.col("rank") <= top).drop("n")
