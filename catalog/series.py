@@ -219,11 +219,13 @@ def _(spark, folder):
 
 @query(
     "b12_keep_critical_tags",
-    f"WITH {USER}, s AS (SELECT tag, count(*) AS n FROM users WHERE value > 250 GROUP BY tag), c AS (SELECT unnest(['1', '2', '3', '4', 'missing']) AS tag) SELECT tag, coalesce(n, 0) AS n FROM c LEFT JOIN s USING (tag)",
+    f"WITH {USER}, s AS (SELECT tag, count(*) AS n FROM users WHERE value > 250 GROUP BY tag), c AS (SELECT unnest(['1', '2', '3', '4', 'missing']) AS tag) SELECT tag, coalesce(n, 0) AS n FROM c LEFT JOIN s USING (tag) WHERE EXISTS (FROM users SEMI JOIN c USING (tag)) "
+    "UNION ALL SELECT tag, n FROM s WHERE NOT EXISTS (FROM users SEMI JOIN c USING (tag))",
 )
 def _(spark, folder):
-    s = shapes.user_long(spark, folder).df.where("value > 250").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    return rows.keep_critical_tags(s, ["1", "2", "3", "4", "missing"], ["n"])
+    users = shapes.user_long(spark, folder).df
+    s = users.where("value > 250").groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    return rows.keep_critical_tags(s, ["1", "2", "3", "4", "missing"], ["n"], users)
 
 
 @query("b15_normalize_day", "SELECT event_id, CAST(ts AS DATE) AS a, CAST(ts AS DATE) AS b FROM events")

@@ -86,10 +86,14 @@ def drop_constant_tags(series: Series, floor: float = 1e-12) -> Series:
     return series.pipe(lambda d: d.join(spread.select("tag"), "tag", "left_semi"))
 
 
-def keep_critical_tags(summary: DataFrame, critical: Sequence[str], counts: Sequence[str]) -> DataFrame:
-    """Only the critical tags, with zero rows for quiet ones; everything when none matches."""
+def keep_critical_tags(summary: DataFrame, critical: Sequence[str], counts: Sequence[str], readings: DataFrame | None = None) -> DataFrame:
+    """Only the critical tags, with zero rows for quiet ones; everything when none matches.
+
+    A critical tag matches if ``readings`` has it, be it quiet or not; without ``readings``, if ``summary`` has it.
+    """
     wanted = summary.sparkSession.createDataFrame([(t,) for t in critical], "tag string")
-    if not summary.join(wanted, "tag", "left_semi").limit(1).count():
+    known = summary if readings is None else readings
+    if not known.join(F.broadcast(wanted), "tag", "left_semi").limit(1).count():
         return summary
     return wanted.join(summary, "tag", "left").fillna(0, list(counts))
 

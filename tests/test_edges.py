@@ -199,3 +199,28 @@ def test_pair_moments_in_blocks(spark, monkeypatch):
     want = table(pair_moments(s, 2))
     monkeypatch.setattr(gram, "TAG_BLOCK", 2)
     assert table(gram.pair_moments(s, 2)) == want
+
+
+def test_quiet_critical_tags_match_if_there_are_readings(spark):
+    summary = spark.createDataFrame([("loud", 3)], "tag string, n long")
+    readings = spark.createDataFrame([("loud",), ("a",)], "tag string")
+    got = lambda critical: {tuple(r) for r in rows.keep_critical_tags(summary, critical, ["n"], readings).collect()}
+    assert got(["a", "b"]) == {("a", 0), ("b", 0)}
+    assert got(["b"]) == {("loud", 3)}
+    assert got(["loud", "a"]) == {("loud", 3), ("a", 0)}
+
+
+def test_critical_tags_beside_their_sql(spark, tmp_path):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    for name, user in (("quiet", 1), ("unknown", 8)):
+        folder = tmp_path / name
+        folder.mkdir()
+        con = duckdb.connect()
+        con.execute(f"CREATE TABLE events AS SELECT k AS event_id, TIMESTAMP '2024-01-01' AS ts, if(k < 3, {user}, 9) AS user_id, 'view' AS event_type, if(k < 3, 1.0, 300.0) AS value FROM range(6) t(k)")
+        con.execute(f"COPY events TO '{folder}/events.parquet' (FORMAT parquet)")
+        got = queries()["b12_keep_critical_tags"](spark, str(folder)).collect()
+        assert sorted(map(tuple, got)) == sorted(con.execute(oracle_sql()["b12_keep_critical_tags"]).fetchall())
+        assert len(got) == (5 if name == "quiet" else 1)
