@@ -23,8 +23,9 @@ from sensorium.operators.windows import (
     run_length,
 )
 from sensorium.plans.attach import attach
+from sensorium.plans.quantiles import quantiles
 from sensorium.series import Series
-from sensorium.session import settle, task_rows
+from sensorium.session import settle
 
 Detector = Callable[[Series], DataFrame]
 _DETECTORS: dict[str, Detector] = {}
@@ -79,11 +80,6 @@ def _cuts(trees: int, seed: int) -> np.ndarray:
     return ends[:, 1:-1]
 
 
-def _leaves(share: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Leaf of each share of the range in each tree, numbered through: (rows, trees)."""
-    return np.stack([np.searchsorted(c, share, "left") + t * 2**LEVELS for t, c in enumerate(cuts)], 1)
-
-
 def _depths(count: np.ndarray, trees: int) -> np.ndarray:
     """Path length that every leaf stands for: down to the first cell with at most one reading, or the leaf."""
     n = count.reshape(trees, 2**LEVELS).astype(float)
@@ -95,42 +91,49 @@ def _depths(count: np.ndarray, trees: int) -> np.ndarray:
     return depth.ravel()
 
 
+def _leaves(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All trees' cuts in one rising line, and each tree's leaf (numbered through) of every gap between them: (gaps, trees)."""
+    trees, width = cuts.shape
+    order = np.argsort(cuts, axis=None, kind="stable")
+    below = np.zeros((cuts.size + 1, trees), np.int32)
+    below[np.arange(1, cuts.size + 1), order // width] = 1
+    return cuts.ravel()[order], below.cumsum(0, dtype=np.int32) + np.arange(trees, dtype=np.int32) * 2**LEVELS
+
+
 def tail_isolation(series: Series, share: float = 0.02, trees: int = 50, seed: int = 42) -> DataFrame:
     """Readings with their mean isolation depth and a flag on the most isolated share.
 
-    Every tree cuts a tag's range at random, cell by cell, ``LEVELS`` times. One pass counts all readings per (tag,
-    tree, cell), a second reads off how early each reading's cell holds nothing else. Blocks of a tag count
-    apart, so its readings never gather in one task.
+    Every tree cuts a tag's range at random, cell by cell, ``LEVELS`` times. All trees' cuts together part the range
+    into gaps, and readings of one gap share their cell in every tree. So a reading is placed in its gap once, Spark
+    counts all readings per tag and gap, and a tag's depths come from its counted gaps, of which there are at most
+    ``trees * 2**LEVELS`` however many readings it has.
     """
     base = series.df.where(F.col("value").isNotNull())
     ends = base.groupBy("tag").agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
     width = F.col("_hi") - F.col("_lo")
-    count = max(1, -(-series.tag_rows // task_rows(base.sparkSession)))
-    placed = series.attach(ends, base).select(
-        "tag", "ts", "row_index", "value", F.when(width > 0, (F.col("value") - F.col("_lo")) / width).otherwise(0.0).alias("share"), F.pmod(F.xxhash64("ts", "row_index"), F.lit(count)).alias("block")
-    )
-    placed = settle(placed)
-
-    def tally(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = np.bincount(_leaves(pdf["share"].to_numpy(), _cuts(trees, seed)).ravel(), minlength=trees * 2**LEVELS)
-        at = np.flatnonzero(found)
-        return pd.DataFrame({"tag": pdf["tag"].iloc[0], "leaf": at, "n": found[at]})
-
-    counts = placed.select("tag", "block", "share").groupBy("tag", "block").applyInPandas(tally, "tag string, leaf int, n long")
-    held = counts.groupBy("tag", "leaf").agg(F.sum("n").alias("n")).groupBy("tag").agg(F.collect_list(F.struct("leaf", "n")).alias("_c"))
-    held = held.select("tag", F.col("_c.leaf").alias("leaf"), F.col("_c.n").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("block"))
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        n = np.zeros(trees * 2**LEVELS)
-        n[np.asarray(right["leaf"].iloc[0], int)] = np.asarray(right["n"].iloc[0], float)
-        depth = _depths(n, trees)[_leaves(left["share"].to_numpy(), _cuts(trees, seed))].mean(1)
-        return left[["tag", "ts", "row_index", "value"]].assign(isolation_depth=np.round(depth, 9))
-
-    kind = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
-    scored = placed.groupBy("tag", "block").cogroup(held.groupBy("tag", "block"))
-    scored = settle(scored.applyInPandas(score, f"tag string, ts {kind['ts']}, row_index {kind['row_index']}, value double, isolation_depth double"))
-    cut = series.quantiles({"_cut": ("isolation_depth", share)}, scored)
-    return series.attach(cut, scored).withColumn("isolated", F.col("isolation_depth") < F.round("_cut", 9)).drop("_cut")
+    line, leaves = _leaves(_cuts(trees, seed))
+
+    @F.pandas_udf("int")
+    def gap_of(at: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(line, at.to_numpy(), "left").astype(np.int32))
+
+    at = F.when(width > 0, (F.col("value") - F.col("_lo")) / width).otherwise(0.0)
+    placed = settle(series.attach(ends, base).select("tag", "ts", "row_index", "value", gap_of(at).alias("gap")))
+    shared = base.sparkSession.sparkContext.broadcast(leaves)
+
+    def deepen(pdf: pd.DataFrame) -> pd.DataFrame:
+        leaf = shared.value[pdf["gap"].to_numpy()]
+        weight = np.repeat(pdf["n"].to_numpy(float), trees)
+        count = np.bincount(leaf.ravel(), weight, trees * 2**LEVELS)
+        return pdf.assign(isolation_depth=np.round(_depths(count, trees)[leaf].mean(1), 9))
+
+    counted = placed.groupBy("tag", "gap").agg(F.count(F.lit(1)).alias("n"))
+    kind = placed.schema["tag"].dataType.simpleString()
+    depths = settle(counted.groupBy("tag").applyInPandas(deepen, f"tag {kind}, gap int, n long, isolation_depth double"))
+    cut = quantiles(depths, ["tag"], {"_cut": ("isolation_depth", share)}, len(line) + 1, "n")
+    gaps = attach(depths.drop("n"), cut, "tag", series.tags)
+    gaps = settle(gaps.withColumn("isolated", F.col("isolation_depth") < F.round("_cut", 9)).drop("_cut"))
+    return attach(placed, gaps, ["tag", "gap"], series.tags * (len(line) + 1)).drop("gap")
 
 
 def status_labels(series: Series, isolation: DataFrame | None = None) -> DataFrame:

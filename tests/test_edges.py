@@ -224,3 +224,34 @@ def test_critical_tags_beside_their_sql(spark, tmp_path):
         got = queries()["b12_keep_critical_tags"](spark, str(folder)).collect()
         assert sorted(map(tuple, got)) == sorted(con.execute(oracle_sql()["b12_keep_critical_tags"]).fetchall())
         assert len(got) == (5 if name == "quiet" else 1)
+
+
+def test_isolation_hands_no_whole_tag_to_python(spark, monkeypatch):
+    import pandas as pd
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps, PandasGroupedOpsMixin
+
+    def bounded(kind):
+        plain = kind.applyInPandas
+
+        def apply(self, fn, schema):
+            def run(*groups):
+                assert max(map(len, groups)) <= 50 * 255 + 1
+                return fn(*groups)
+
+            if kind is PandasCogroupedOps:
+                return plain(self, lambda a, b: run(a, b), schema)
+            return plain(self, lambda a: run(a), schema)
+
+        monkeypatch.setattr(kind, "applyInPandas", apply)
+
+    bounded(PandasCogroupedOps)
+    bounded(PandasGroupedOpsMixin)
+    value = np.round(np.random.default_rng(3).normal(0, 1, 20_000), 3)
+    df = spark.createDataFrame(pd.DataFrame({"ts": pd.Timestamp("2024-01-01"), "row_index": np.arange(len(value)), "tag": "t", "value": value}))
+    got = detect.tail_isolation(Series(df)).select("row_index", "isolation_depth", "isolated").toPandas().sort_values("row_index")
+    cuts = detect._cuts(50, 42)
+    share = (value - value.min()) / (value.max() - value.min())
+    leaf = np.stack([np.searchsorted(c, share, "left") + t * 256 for t, c in enumerate(cuts)], 1)
+    depth = np.round(detect._depths(np.bincount(leaf.ravel(), minlength=50 * 256), 50)[leaf].mean(1), 9)
+    assert (got["isolation_depth"].to_numpy() == depth).all()
+    assert (got["isolated"].to_numpy() == (depth < np.round(np.quantile(depth, 0.02), 9))).all()
