@@ -1,6 +1,7 @@
 """Block paths give what plain windows give."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sensorium.operators import stats, windows
@@ -95,3 +96,32 @@ def test_frame_wider_than_a_block_is_refused(spark, frame, blocks):
     blocks(20)
     with pytest.raises(ValueError):
         Series(frame).lane().rolling(30, 0, lambda w: {"m": F.avg("value").over(w.rowsBetween(-30, 0))})
+
+
+@pytest.mark.parametrize("limit", (17, 400))
+def test_framed_medians_in_arrow_match_window_frames(spark, frame, blocks, monkeypatch, limit):
+    """NaN is the largest value, missing values are left out, frames reach over blocks, short tags have shorter frames."""
+    from sensorium.operators import consensus
+
+    odd = F.when(F.col("row_index") % 31 == 5, float("nan")).when(F.col("row_index") % 29 == 4, float("-inf")).otherwise(F.col("value"))
+    s = Series(frame.withColumn("value", odd))
+    cfg = consensus.ConsensusConfig(local_window=7, local_min=3, long_window=8, long_min=3, short_window=3, short_min=2)
+    monkeypatch.setattr(consensus, "FRAME_ROWS", limit)
+    calls = []
+    plain = Lane.rolling_arrow
+    monkeypatch.setattr(Lane, "rolling_arrow", lambda self, *a: calls.append(self.whole) or plain(self, *a))
+    got = rows(consensus.windowed_values(s, cfg))
+    assert calls == [limit == 400]
+
+    sizes = consensus.long_sizes(cfg, 9), {n: consensus.long_sizes(cfg, n) for n in (1, 4)}
+    assert not any(any(v) for v in sizes[1].values())
+    long, long_min, short, short_min = sizes[0]
+    w = Window.partitionBy("tag").orderBy("ts", "row_index")
+    far = lambda c: F.when(~F.col("tag").isin("short", "one"), c)
+    med = windows.median_over
+    df = s.df.withColumns({"_delta": F.col("value") - F.lag("value").over(w), "_lm": med("value", w.rowsBetween(-3, 3), 3)})
+    df = df.withColumns({"_tm": far(med("value", w.rowsBetween(1 - long, 0), long_min)), "_sm": far(med("value", w.rowsBetween(1 - short, 0), short_min))})
+    df = df.withColumns({"_ld": F.abs(F.col("value") - F.col("_lm")), "_td": F.abs(F.col("value") - F.col("_tm")), "_gap": F.col("_sm") - F.col("_tm")})
+    df = df.withColumns({"_ls": med("_ld", w.rowsBetween(-3, 3), 3), "_ts": far(med("_td", w.rowsBetween(1 - long, 0), long_min))}).drop("_ld", "_td")
+    # as text: NaN is not equal to itself
+    assert list(map(str, got)) == list(map(str, rows(df)))
