@@ -1,5 +1,7 @@
 """Block paths give what plain windows give."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -125,3 +127,16 @@ def test_framed_medians_in_arrow_match_window_frames(spark, frame, blocks, monke
     df = df.withColumns({"_ls": med("_ld", w.rowsBetween(-3, 3), 3), "_ts": far(med("_td", w.rowsBetween(1 - long, 0), long_min))}).drop("_ld", "_td")
     # as text: NaN is not equal to itself
     assert list(map(str, got)) == list(map(str, rows(df)))
+
+
+def test_tag_controls_over_framed_blocks(spark, frame, monkeypatch):
+    from sensorium.operators import consensus
+
+    controls = spark.createDataFrame([("hot", 3.0, ["S2_LOCAL", "S6_LONG"], "up"), ("a", None, None, "down")], consensus.CONTROL_FIELDS)
+    cfg = consensus.without_peers(consensus.MULTI_SIGNAL)
+    out = []
+    for limit in (1000, 75):
+        monkeypatch.setattr(consensus, "FRAME_ROWS", limit)
+        df = consensus.consensus(Series(frame), replace(cfg, long_window=30, local_window=21), controls)
+        out.append(rows(df.select("ts", "tag", "value", "z_local", "z_long", "z_gap", "signals_fired", "final_class")))
+    assert out[0] == out[1] and len(out[0]) == frame.count()
