@@ -70,6 +70,44 @@ def test_scores_of_few_and_no_rows(spark):
     assert got == [(1, 0, 0, 0.0), (4, 0, 0, 0.0)]
 
 
+def test_topics_and_starting_values_count_every_training_text(spark):
+    # more texts than once gave the starting values, and one too long for them then
+    texts = [(i, f"w{i % 7} " * (i % 23), "en") for i in range(900)] + [(9000, "lang wort " * 20_000, "de")]
+    rows = spark.createDataFrame(rows_of(texts), KIND).repartition(3).select("doc_id", F.coalesce(HELD(), F.lit(False)).alias("held_out"), "text")
+    spark.sparkContext.addFile(PIECE_MODEL)
+    found = scoring.coded(rows, PIECE_MODEL)
+    tables = scoring.add_up(found.where("name IS NOT NULL").select("name", "at", "body"))
+    subwords = scoring.Subwords(PIECE_MODEL)
+    taught = [t.split() for i, t, _ in texts if not held(i)]
+    size = {w: len(subwords.model.encode(w)) for t in taught for w in t}
+    assert tables["next"].sum() == sum(1 + sum(size[w] for w in t) for t in taught)
+    assert tables["away"].sum() == sum(max(len(t) + 1 - scoring.AWAY, 0) for t in taught)
+
+
+def test_topics_part_languages():
+    rng = np.random.default_rng(3)
+    pairs = np.zeros((scoring.BUCKETS, scoring.BUCKETS))
+    for k in range(3):
+        words = np.arange(40) + 40 * k
+        np.add.at(pairs, (rng.choice(words, 4000), rng.choice(words, 4000)), 1)
+    likely = scoring.find_topics(pairs, 4096)
+    best = [set(np.argmax(likely[40 * k : 40 * k + 40], 1)) for k in range(3)]
+    assert not best[0] & best[1] and not best[1] & best[2] and not best[0] & best[2]
+    assert not scoring.find_topics(None, 9).any()
+
+
+def test_sums_of_mixed_logarithms_match_single_ones():
+    rng = np.random.default_rng(6)
+    tokens = np.array([1, 8, 9, 40, 3])
+    net = -rng.exponential(20, tokens.sum())
+    net[[4, 20]], counts = (-320.0, -700.0), rng.random(len(net)) * 1e-3
+    counts[[4, 20, 30]] = 0
+    with np.errstate(divide="ignore"):
+        each = np.where((net < -280) & (counts == 0), np.log10(0.2) + net, np.log10(0.2 * 10.0**net + 0.8 * counts))
+    want = [x.sum() for x in np.split(each, np.cumsum(tokens)[:-1])]
+    np.testing.assert_allclose(scoring.mixed(0.2, net, 10.0**net, counts, tokens), want, rtol=1e-12)
+
+
 def test_every_symbol_is_scored_once_and_by_its_past_only():
     rng = np.random.default_rng(1)
     model = attention.Model.fresh(np.full(40, 1 / 40))
