@@ -140,3 +140,24 @@ def test_tag_controls_over_framed_blocks(spark, frame, monkeypatch):
         df = consensus.consensus(Series(frame), replace(cfg, long_window=30, local_window=21), controls)
         out.append(rows(df.select("ts", "tag", "value", "z_local", "z_long", "z_gap", "signals_fired", "final_class")))
     assert out[0] == out[1] and len(out[0]) == frame.count()
+
+
+def test_a_vote_over_blocks_orders_its_readings_once(spark, frame, monkeypatch):
+    """Steps, early readings and neighbours take the blocks of the framed medians; no pass has one task per tag."""
+    from sensorium.operators import consensus
+
+    orders = []
+    for name in ("__init__", "numbered"):
+        plain = getattr(Lane, name)
+
+        def noted(self, *a, plain=plain, **k):
+            out = plain(self, *a, **k)
+            if self.order == ["ts", "row_index"]:
+                orders.append(self.whole)
+            return out
+
+        monkeypatch.setattr(Lane, name, noted)
+    monkeypatch.setattr(consensus, "FRAME_ROWS", 75)
+    cfg = replace(consensus.without_peers(consensus.MULTI_SIGNAL), long_window=30, local_window=21)
+    df = consensus.consensus(Series(frame), cfg)
+    assert orders == [False] and "_pos" not in df.columns and df.count() == frame.count()
