@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ RUN_BYTES, CHUNK_BYTES = 2_000_000, 8_000_000
 SEGMENT = 4_000_000
 #: Words of a row of word codes.
 RUN = 500_000
+#: Bits that part the numbers of a filter into shares, which are merged one after the other.
+SHARE_BITS = 3
 ROUNDS = 4
 U = np.uint64
 
@@ -117,6 +120,16 @@ class Filter:
             return filters[0]
         return Filter.of(filters[0].packing, *(np.concatenate([getattr(f, n) for f in filters]) for n in ("left", "right", "count")))
 
+    @staticmethod
+    def shares(filters: list[Filter], low: int, bits: int, start: int = 0) -> Iterator[Filter]:
+        """All filters merged, one share of their numbers after the other: 2^``bits`` of them from ``start`` on, each of 2^``low`` first halves."""
+        edges = U(start) + (np.arange((1 << bits) + 1, dtype=U) << U(low))
+        cuts = [np.searchsorted(f.left, edges) for f in filters]
+        for k in range(1 << bits):
+            own = [(f, slice(at[k], at[k + 1])) for f, at in zip(filters, cuts, strict=True) if at[k] < at[k + 1]]
+            if own:
+                yield Filter.merged([Filter(f.packing, f.left[at], f.right[at], f.count[at]) for f, at in own])
+
     def segments(self, segment_bits: int) -> Iterator[tuple[int, Filter]]:
         """The filter cut at the first bits."""
         key = self.left >> U(self.packing.left_bits - segment_bits)
@@ -263,6 +276,26 @@ def word_codes(batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array, np.ndarray, n
     return langs.dictionary.take(pa.array(pair // wide)), spelled.dictionary.take(pa.array(pair % wide)), code.astype(np.int32), new
 
 
+def phrases_of(body: bytes, number: np.ndarray, packing: Packing) -> Filter:
+    """The phrases of a run of codes whose words have numbers above 0."""
+    wide, lent = body[0], body[1]
+    data = np.frombuffer(body, np.uint8, offset=2).reshape(-1, wide)
+    flat = np.zeros((len(data), 4), np.uint8)
+    flat[:, :wide] = data
+    flat = flat.reshape(-1).view("<u4")
+    own = flat >> 1
+    word = np.where(own < len(number), number[np.minimum(own, len(number) - 1)], 0)
+    piece = np.cumsum(flat & 1, dtype=np.uint32)
+    # phrases that end in the words before the run belong to the run before
+    first = np.arange(max(packing.length - 1, lent) - packing.length + 1, len(word) - packing.length + 1)
+    good = piece[first] == piece[first + packing.length - 1]
+    for k in range(packing.length):
+        good &= word[first + k] > 0
+    first = first[good]
+    keys = packing.permute([word[first + k] for k in range(packing.length)])
+    return Filter.of(packing, *keys, np.ones(len(first), np.int64))
+
+
 def phrase_filters(runs: DataFrame, numbers: DataFrame, most: int, bits: int, segment_bits: int, parts: int) -> DataFrame:
     """Filters ``length, segment, body`` of each chunk's phrases of frequent words."""
 
@@ -270,32 +303,14 @@ def phrase_filters(runs: DataFrame, numbers: DataFrame, most: int, bits: int, se
         code = right.column("code").to_numpy()
         number = np.zeros(int(code.max(initial=0)) + 1, np.int64)
         number[code] = right.column("number").to_numpy()
-        held: dict[int, list[Filter]] = {}
-        for body in left.column("body").to_pylist():
-            wide, lent = body[0], body[1]
-            data = np.frombuffer(body, np.uint8, offset=2).reshape(-1, wide)
-            flat = np.zeros((len(data), 4), np.uint8)
-            flat[:, :wide] = data
-            flat = flat.reshape(-1).view("<u4").astype(np.int64)
-            own = flat >> 1
-            word = np.where(own < len(number), number[np.minimum(own, len(number) - 1)], 0)
-            piece = np.cumsum(flat & 1)
-            for length in range(2, most + 1):
-                # phrases that end in the words before the run belong to the run before
-                last = np.arange(max(length - 1, lent), len(word))
-                first = last - length + 1
-                if not len(last):
-                    continue
-                good = piece[first] == piece[last]
-                for k in range(length):
-                    good &= word[first + k] > 0
-                first = first[good]
-                packing = Packing(length, bits)
-                keys = packing.permute([word[first + k] for k in range(length)])
-                held.setdefault(length, []).append(Filter.of(packing, *keys, np.ones(len(first), np.int64)))
         out = []
-        for length, filters in held.items():
-            out += [(length, s, f.write(segment_bits)) for s, f in Filter.merged(filters).segments(segment_bits)]
+        # one length after the other: only its filters are held
+        for length in range(2, most + 1):
+            packing = Packing(length, bits)
+            filters = [phrases_of(body, number, packing) for body in left.column("body").to_pylist()]
+            share_bits = min(SHARE_BITS, segment_bits)
+            for share in Filter.shares(filters, packing.left_bits - share_bits, share_bits):
+                out += [(length, s, f.write(segment_bits)) for s, f in share.segments(segment_bits)]
         kinds = (pa.int32(), pa.int32(), pa.binary())
         columns = zip(*out, strict=True) if out else ([], [], [])
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["length", "segment", "body"])
@@ -304,33 +319,30 @@ def phrase_filters(runs: DataFrame, numbers: DataFrame, most: int, bits: int, se
     return left.cogroup(right).applyInArrow(count, "length int, segment int, body binary")
 
 
-def merged_counts(filters: DataFrame, bits: int, segment_bits: int, least: int) -> DataFrame:
-    """Phrases ``words array<long>, f`` of at least ``least`` occurrences: filters merged by segment."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[Filter]] = {}
-        waiting: dict[tuple[int, int], int] = {}
-        for batch in rows:
-            for length, segment, body in zip(*(batch.column(c).to_pylist() for c in ("length", "segment", "body")), strict=True):
-                f = Filter.read(Packing(length, bits), segment, segment_bits, body)
-                key = length, segment
-                held.setdefault(key, []).append(f)
-                waiting[key] = waiting.get(key, 0) + len(f.left)
-                if len(held[key]) > 1 and waiting[key] > 2 * len(held[key][0].left):
-                    held[key] = [Filter.merged(held[key])]
-                    waiting[key] = 0
-        for (length, _), filters in held.items():
-            f = Filter.merged(filters)
+def frequent(rows: Iterator[pa.RecordBatch], bits: int, segment_bits: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Phrases of at least ``least`` occurrences from filters in order of length and segment; one segment is held at a time."""
+    bodies = ((tuple(batch.column(c)[k].as_py() for c in ("length", "segment")), batch.column("body")[k].as_buffer()) for batch in rows for k in range(batch.num_rows))
+    for (length, segment), group in groupby(bodies, key=lambda b: b[0]):
+        packing = Packing(length, bits)
+        held = [Filter.read(packing, segment, segment_bits, body) for _, body in group]
+        low = packing.left_bits - segment_bits
+        share_bits = min(SHARE_BITS, low)
+        for f in Filter.shares(held, low - share_bits, share_bits, segment << low):
             often = f.count >= least
             if often.any():
-                words = np.stack(f.packing.words(f.left[often], f.right[often]), 1)
+                words = np.stack(packing.words(f.left[often], f.right[often]), 1)
                 offsets = np.arange(len(words) + 1, dtype=np.int32) * length
                 yield pa.RecordBatch.from_arrays(
                     [pa.ListArray.from_arrays(pa.array(offsets), pa.array(words.ravel())), pa.array(f.count[often])], ["words", "f"]
                 )
 
+
+def merged_counts(filters: DataFrame, bits: int, segment_bits: int, least: int) -> DataFrame:
+    """Phrases ``words array<long>, f`` of at least ``least`` occurrences: filters merged by segment."""
     parts = max(int(filters.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << segment_bits)
-    return filters.repartition(parts, "length", "segment").mapInArrow(run, "words array<long>, f long")
+    # a task meets its segments one after the other
+    dealt = filters.repartition(parts, "length", "segment").sortWithinPartitions("length", "segment")
+    return dealt.mapInArrow(lambda rows: frequent(rows, bits, segment_bits, least), "words array<long>, f long")
 
 
 def judged(counts: DataFrame) -> DataFrame:
@@ -388,9 +400,9 @@ def mine(docs: DataFrame, least: int = 30, most: int = 4, top: int = 2000, text_
     parts = max(min(chunks, 200), chunks // 8, 1)
     own = words.join(numbered.drop("f"), ["lang", "word"]).select(F.col("chunk").alias("own"), "code", "number")
     filters = phrase_filters(runs, own, most, bits, segment_bits, parts)
-    frequent = merged_counts(filters, bits, segment_bits, least)
+    merged = merged_counts(filters, bits, segment_bits, least)
     single = numbered.select(F.array("number").alias("words"), "f")
-    best = scratch.keep(judged(scratch.keep(single.unionByName(frequent))))
+    best = scratch.keep(judged(scratch.keep(single.unionByName(merged))))
     spelled = best.select("words", F.posexplode("words").alias("at", "number")).join(numbered.drop("f"), "number")
     spelled = spelled.groupBy("words").agg(F.first("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("at", F.col("word").cast("string").alias("w")))).alias("_w"))
     found = best.join(spelled, "words").withColumn("phrase", F.array_join("_w.w", " "))

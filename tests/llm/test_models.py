@@ -2,11 +2,13 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -295,3 +297,22 @@ def test_filters_keep_every_phrase(length, bits):
         assert (halves.count == 2 * back.count).all()
         read += list(zip(zip(*[w.tolist() for w in packing.words(back.left, back.right)]), back.count.tolist()))
     assert dict(read) == dict(want) and len(read) == len(want)
+
+
+def test_a_task_holds_the_filters_of_one_segment():
+    rng = np.random.default_rng(3)
+    packing, segment_bits = phrases.Packing(3, 18), 5
+    chunks = [[rng.integers(1, 1 << 6, 100_000) for _ in range(3)] for _ in range(3)]
+    filters = [phrases.Filter.of(packing, *packing.permute(w), np.ones(100_000, np.int64)) for w in chunks]
+    want = Counter(p for w in chunks for p in zip(*[k.tolist() for k in w]))
+    parts = sorted((s, f.write(segment_bits)) for whole in filters for s, f in whole.segments(segment_bits))
+    batches = [pa.record_batch({"length": pa.array([3], pa.int32()), "segment": pa.array([s], pa.int32()), "body": [b]}) for s, b in parts]
+    decoded = sum(24 * len(f.left) for f in filters)
+    found = {tuple(r["words"]): r["f"] for b in phrases.frequent(iter(batches), 18, segment_bits, 2) for r in b.to_pylist()}
+    tracemalloc.start()
+    for _ in phrases.frequent(iter(batches), 18, segment_bits, 2):
+        pass
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == {p: c for p, c in want.items() if c >= 2}
+    assert most < decoded / 8
