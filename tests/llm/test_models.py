@@ -86,6 +86,63 @@ def test_topics_and_starting_values_count_every_training_text(spark):
     assert tables["away"].sum() == sum(max(len(t) + 1 - scoring.AWAY, 0) for t in taught)
 
 
+def test_words_meet_their_counts_in_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "CHUNK_BYTES", 2_000)
+    monkeypatch.setattr(scoring, "RUN_BYTES", 500)
+    texts = [(i, " ".join(f"w{(i * k) % 61}" for k in range(i % 40)), "en") for i in range(400)]
+    rows = spark.createDataFrame(rows_of(texts), KIND).repartition(3).select("doc_id", F.coalesce(HELD(), F.lit(False)).alias("held_out"), "text")
+    spark.sparkContext.addFile(PIECE_MODEL)
+    subwords = scoring.Subwords(PIECE_MODEL)
+    runs = scoring.coded(rows, PIECE_MODEL).where("name IS NULL").cache()
+    likely = scoring.find_topics(None, subwords.count)
+    words = scoring.counted(runs, subwords.kind, likely, 3).cache()
+    chunks = runs.select("chunk").distinct().count()
+    # a row for each chunk and drawer, not for each of its words
+    assert chunks > 6 and words.count() <= 3 * chunks
+    drawers = {}
+    for r in words.collect():
+        for w in scoring.unpacked([r.body])[0].to_pylist():
+            assert drawers.setdefault(w, r.drawer) == r.drawer
+    met = scoring.totalled(words, subwords.kind, subwords.count, 2).cache()
+    want = Counter()
+    for i, t, _ in texts:
+        if not held(i):
+            want.update([*t.split(), None])
+    spelled = {subwords.encode(pa.array([w.encode()], pa.binary()))[0].astype(subwords.kind).tobytes(): w for w in want if w}
+    spelled[np.array([scoring.END], subwords.kind).tobytes()] = None
+    for r in met.where("name IS NULL").collect():
+        found, counts, _ = scoring.unpacked([r.body])
+        assert all(want[spelled[w]] == n for w, n in zip(found.to_pylist(), counts[-1], strict=True))
+    tables = scoring.add_up(met.where("name IS NOT NULL").select("name", "at", "body"))
+    assert tables["words"][0] == len(want) and tables["words"][-1] == sum(want.values())
+    assert tables["symbols"].sum() == sum(n * len(w) // subwords.kind.itemsize for w, n in ((w, want[t]) for w, t in spelled.items()))
+
+
+def test_packed_counts_come_back():
+    words = pa.array([b"", b"ab", b"abcd"], pa.binary())
+    for top in (7, 1 << 40):
+        counts = np.arange(3 * (scoring.TOPICS + 1)).reshape(-1, 3) + top
+        found, n, many = scoring.unpacked([scoring.packed(words, counts), scoring.packed(words.slice(1), counts[:, 1:])])
+        assert found.to_pylist() == [b"", b"ab", b"abcd", b"ab", b"abcd"] and many.tolist() == [3, 2]
+        assert (n == np.concatenate([counts, counts[:, 1:]], 1)).all()
+
+
+def test_attention_weights_are_bounded_only_where_they_may_grow():
+    rng = np.random.default_rng(2)
+    model = attention.Model.fresh(rng.dirichlet(np.ones(30)))
+    inputs, targets = attention.windows(rng.integers(1, 30, 300), np.array([0, 300]))
+    *sides, small = model.sides()
+    assert small
+    assert (model.log10(inputs, targets, (*sides, True)) == model.log10(inputs, targets, (*sides, False))).all()
+    model.dense["query"] *= 1e4
+    assert not model.sides()[-1] and np.isfinite(model.log10(inputs, targets)).all()
+    table, row, values = np.zeros((30, 4)), rng.integers(0, 30, 500), rng.random((500, 4))
+    want = table.copy()
+    np.add.at(want, row, values)
+    attention.add_rows(table, row, np.ascontiguousarray(values.T))
+    np.testing.assert_allclose(table, want)
+
+
 def test_topics_part_languages():
     rng = np.random.default_rng(3)
     pairs = np.zeros((scoring.BUCKETS, scoring.BUCKETS))
